@@ -1,3 +1,3 @@
 """Queries over the driver tables, each with the SQL that must agree."""
 
-from workloads import text_queries  # noqa: F401
+from workloads import clause_queries, relation_queries, text_queries  # noqa: F401
