@@ -84,13 +84,30 @@ def winners(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def primary_index(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
-    """The current row of each clause number.
+    """The current row of each clause number, with n_superseded.
 
-    Only keys are aggregated; clause text moves once, in the last join, whose
-    key includes the document and so cannot be skewed by a popular clause.
+    One pass over the clauses: versions of a clause combine on the map side,
+    so a clause that very many documents share moves as one row per task.
     """
-    keep = winners(clause_versions, manifest).drop("n_policies")
-    return clause_versions.join(keep, ["clause_number", "policy_id", "document_id"])
+    rest = [c for c in clause_versions.columns if c not in ("policy_id", "clause_number")]
+    current = current_documents(manifest)
+    is_current = F.col("document_id") == F.col("current_document_id")
+    per_policy = (
+        clause_versions.join(current, "policy_id")
+        .groupBy("policy_id", "policy_seq", "clause_number")
+        .agg(
+            F.count("*").alias("_n"),
+            F.max(is_current).alias("_has_current"),
+            F.max_by(F.struct(*rest), is_current).alias("_row"),
+        )
+        .filter(F.col("_has_current") | (F.col("_n") == 1))
+    )
+    row = F.struct("policy_id", (F.col("_n") - 1).alias("n_superseded"), "_row")
+    return (
+        per_policy.groupBy("clause_number")
+        .agg(F.max_by(row, "policy_seq").alias("_w"))
+        .select("clause_number", "_w.policy_id", "_w._row.*", "_w.n_superseded")
+    )
 
 
 def superseded(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,3 +1,9 @@
 """Queries over the driver tables, each with the SQL that must agree."""
 
-from workloads import clause_queries, relation_queries, text_queries  # noqa: F401
+from workloads import (  # noqa: F401
+    clause_queries,
+    graph_queries,
+    other_queries,
+    relation_queries,
+    text_queries,
+)
