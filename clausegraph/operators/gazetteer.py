@@ -68,22 +68,25 @@ def gazetteer_spans(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     free_of = lambda near, listed: (F.size(listed) == 0) | ~F.arrays_overlap(
         near, listed
     )
-    hit = (
-        probe.withColumn("_word", word)
-        .join(seed_phrases(seeds), F.col("_word") == F.col("first_token"))
-        .filter((F.col("n_tokens") == 1) | (lowered("_at + 1", "n_tokens") == F.col("phrase")))
-        .filter(free_of(near_left, "left_forbidden") & free_of(near_right, "right_forbidden"))
+    # The join itself compares single tokens only, so that explode and probe
+    # run as one code-generated stage; what needs a lambda comes after it.
+    probed = probe.withColumn("_word", word).join(
+        seed_phrases(seeds), F.col("_word") == F.col("first_token")
     )
-    # get() and not []: Spark may move these ahead of the phrase filter.
     start_of = lambda i: (
         f"get(_starts, int(({i}) div {_BLOCK})) + length(array_join("
         f"slice(_pieces, int(({i}) div {_BLOCK}) * {_BLOCK} + 1, int(({i}) % {_BLOCK})), ''))"
     )
-    begin = F.expr(f"{start_of('_at')} + length(_piece) - length(_word)")
-    end = F.expr(
-        f"{start_of('_at + n_tokens - 1')} + length(get(_pieces, _at + n_tokens - 1))"
-    )
-    return hit.withColumn("_b", begin).withColumn("_e", end).select(
+    same = (F.col("n_tokens") == 1) | (lowered("_at + 1", "n_tokens") == F.col("phrase"))
+    hit = tx.once(
+        probed,
+        _kept=same & free_of(near_left, "left_forbidden") & free_of(near_right, "right_forbidden"),
+        _b=F.expr(f"{start_of('_at')} + length(_piece) - length(_word)"),
+        _e=F.expr(
+            f"{start_of('_at + n_tokens - 1')} + length(get(_pieces, _at + n_tokens - 1))"
+        ),
+    ).filter("_kept")
+    return hit.select(
         "doc_id",
         "chunk_id",
         (F.col("char_start") + F.col("_b")).alias("char_start"),

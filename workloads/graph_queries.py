@@ -25,7 +25,7 @@ _SAID = f"{ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {_SETS}"
 
 
 def _said(spark, sf_dir):
-    return eg.mention_edges(ti.mentions(spark, sf_dir), ti.corpus(spark, sf_dir)).select(
+    return eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir)).select(
         "doc_id", "entity_id"
     )
 

@@ -8,6 +8,7 @@ from clausegraph.operators import chunks as ch
 from clausegraph.operators import entity_graph as eg
 from clausegraph.operators import gazetteer as gz
 from clausegraph.operators import resolve as rs
+from clausegraph.plans.lineage import cut
 from workloads import text_inputs as ti
 from workloads.registry import query
 
@@ -211,7 +212,7 @@ def rounded(df, *names, places=6):
 )
 def tfidf_edges(spark, sf_dir):
     return rounded(
-        eg.mention_edges(ti.mentions(spark, sf_dir), ti.corpus(spark, sf_dir)), "weight"
+        eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir)), "weight"
     )
 
 
@@ -221,7 +222,7 @@ def tfidf_edges(spark, sf_dir):
     "GROUP BY entity_id HAVING count(*) >= 2",
 )
 def minimum_mentions(spark, sf_dir):
-    kept = eg.kept_mentions(ti.mentions(spark, sf_dir))
+    kept = eg.kept_mentions(cut(ti.mentions(spark, sf_dir)))
     return kept.groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
@@ -235,7 +236,7 @@ _TOP = """SELECT doc_id, entity_id, round(weight, 6) + 0.0 AS weight, rank FROM
     f"WITH {ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} " + _TOP.format("TRUE"),
 )
 def top_entities_per_document(spark, sf_dir):
-    said = eg.mention_edges(ti.phrase_mentions(spark, sf_dir), ti.corpus(spark, sf_dir))
+    said = eg.mention_edges(cut(ti.phrase_mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
     return rounded(eg.top_entities(said), "weight")
 
 
@@ -245,7 +246,7 @@ def top_entities_per_document(spark, sf_dir):
     + _TOP.format("entity_id LIKE 'topic:%'"),
 )
 def about_edges(spark, sf_dir):
-    said = eg.mention_edges(ti.mentions(spark, sf_dir), ti.corpus(spark, sf_dir))
+    said = eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
     return rounded(eg.about_edges(said), "weight")
 
 
@@ -255,7 +256,7 @@ def about_edges(spark, sf_dir):
     "SELECT source, target, n_both, n_source, n_target, n_chunks FROM pmi",
 )
 def co_occurrence_counts(spark, sf_dir):
-    return eg.co_occurrence(ti.phrase_mentions(spark, sf_dir)).drop("weight")
+    return eg.co_occurrence(cut(ti.phrase_mentions(spark, sf_dir))).drop("weight")
 
 
 @query(
@@ -264,7 +265,7 @@ def co_occurrence_counts(spark, sf_dir):
     "SELECT source, target, round(weight, 6) + 0.0 AS weight FROM pmi",
 )
 def co_occurrence_pmi(spark, sf_dir):
-    pairs = eg.co_occurrence(ti.mentions(spark, sf_dir))
+    pairs = eg.co_occurrence(cut(ti.mentions(spark, sf_dir)))
     return rounded(pairs.select("source", "target", "weight"), "weight")
 
 
@@ -295,7 +296,7 @@ edges AS (
 SELECT source, target, edge_type, round(weight, 6) + 0.0 AS weight FROM edges""",
 )
 def graph_edges(spark, sf_dir):
-    edges = eg.graph_edges(ti.mentions(spark, sf_dir), ti.corpus(spark, sf_dir))
+    edges = eg.graph_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
     return rounded(edges, "weight")
 
 
