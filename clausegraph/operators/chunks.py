@@ -24,13 +24,14 @@ def sentence_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     ).drop("_text")
     measured = tx.once(split, _lengths=F.expr("transform(_pieces, p -> length(p))"))
     located = tx.once(measured, _starts=tx.running_totals("_lengths"))
+    # Piece and start leave together: a row never carries a whole array.
     rows = located.select(
-        "doc_id", "_starts", F.posexplode("_pieces").alias("_no", "_piece")
+        "doc_id", F.posexplode(F.arrays_zip("_pieces", "_starts")).alias("_no", "_piece")
     ).select(
         "doc_id",
         F.col("_no"),
-        F.expr("get(_starts, _no)").alias("char_start"),
-        tx.trimmed_end(F.col("_piece")).alias("text"),
+        F.col("_piece._starts").alias("char_start"),
+        tx.trimmed_end(F.col("_piece._pieces")).alias("text"),
     )
     number = F.when(
         F.col("_no") < 10000, F.lpad(F.col("_no").cast("string"), 4, "0")

@@ -8,7 +8,7 @@ when its statistics say it is small, and sort-merge joined when they do not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.domains import SCORE_LABEL_TO_CLASS, SPAN_SCORE_MIN
@@ -39,59 +39,75 @@ def seed_phrases(seeds: DataFrame) -> DataFrame:
     )
 
 
-def tokens(chunks: DataFrame) -> DataFrame:
-    """Chunks with their token pieces and the start of every 64th piece.
+def token_windows(chunks: DataFrame, reach: Column) -> DataFrame:
+    """Chunks cut into windows of 64 tokens with some context on both sides.
 
-    The start of any piece is a block start plus the lengths of a few pieces,
-    worked out only for the pieces that match.
+    A window holds its own tokens after up to two earlier ones, and `reach`
+    later ones, so that no match is cut.  Rows stay small however long a
+    sentence is.  Columns: `_before` (how many earlier tokens), `_at` (where
+    the window starts in the chunk) and `_window` (its pieces).
     """
-    split = tx.once(chunks, _pieces=tx.pieces(F.col("text"), tx.TOKEN_PIECE))
-    lengths = F.expr(f"""
-        transform(sequence(0, size(_pieces) div {_BLOCK}),
-                  b -> length(array_join(slice(_pieces, int(b) * {_BLOCK} + 1, {_BLOCK}), '')))
+    split = tx.once(chunks, _pieces=tx.pieces(F.col("text"), tx.TOKEN_PIECE), _reach=reach).drop(
+        "text"
+    )
+    sized = tx.once(
+        split,
+        _lengths=F.expr(f"""
+          if(size(_pieces) <= {_BLOCK}, array(0),
+             transform(sequence(0, int((size(_pieces) - 1) div {_BLOCK})),
+                       b -> length(array_join(slice(_pieces, b * {_BLOCK} + 1, {_BLOCK}), ''))))
+        """),
+    )
+    placed = tx.once(sized, _starts=tx.running_totals("_lengths"))
+    windows = F.expr(f"""
+      transform(_starts, (at, b) -> if(b = 0,
+        named_struct('_before', 0, '_at', 0, '_window', slice(_pieces, 1, {_BLOCK} + _reach)),
+        named_struct(
+          '_before', 2,
+          '_at', at - length(array_join(slice(_pieces, b * {_BLOCK} - 1, 2), '')),
+          '_window', slice(_pieces, b * {_BLOCK} - 1, {_BLOCK} + 2 + _reach))))
     """)
-    short = F.size("_pieces") <= _BLOCK
-    sized = tx.once(split, _blocks=F.when(~short, lengths))
-    starts = F.when(short, F.array(F.lit(0))).otherwise(tx.running_totals("_blocks"))
-    return tx.once(sized, _starts=starts).drop("_blocks")
+    return placed.select("doc_id", "chunk_id", "char_start", F.inline(windows))
 
 
 def gazetteer_spans(chunks: DataFrame, seeds: DataFrame) -> DataFrame:
     """Every whole-token, case-insensitive seed match; overlaps are all kept."""
-    probe = tokens(chunks).select("*", F.posexplode("_pieces").alias("_at", "_piece"))
-    word = F.lower(tx.trimmed_start(F.col("_piece")))
+    phrases = seed_phrases(seeds)
+    longest = phrases.agg(F.coalesce(F.max("n_tokens"), F.lit(1))).scalar()
+    probe = token_windows(chunks, longest + 1).select(
+        "*", F.posexplode(F.expr(f"slice(_window, _before + 1, {_BLOCK})")).alias("_i", "_piece")
+    )
+    # The join compares single tokens only, so that explode and probe run as
+    # one code-generated stage; what needs a lambda comes after it.
+    probed = (
+        probe.withColumn("_word", F.lower(tx.trimmed_start(F.col("_piece"))))
+        .join(phrases, F.col("_word") == F.col("first_token"))
+        .withColumn("_j", F.col("_before") + F.col("_i"))
+    )
     lowered = lambda first, n: F.expr(
-        f"transform(slice(_pieces, {first}, {n}), p -> lower(ltrim('{_BLANKS_SQL}', p)))"
+        f"transform(slice(_window, {first}, {n}), p -> lower(ltrim('{_BLANKS_SQL}', p)))"
     )
-    near_left = lowered("greatest(_at - 2, 0) + 1", "least(_at, 2)")
-    near_right = lowered("_at + n_tokens + 1", "2")
+    near_left = lowered("greatest(_j - 2, 0) + 1", "least(_j, 2)")
+    near_right = lowered("_j + n_tokens + 1", "2")
     free_of = lambda near, listed: (F.size(listed) == 0) | ~F.arrays_overlap(
         near, listed
     )
-    # The join itself compares single tokens only, so that explode and probe
-    # run as one code-generated stage; what needs a lambda comes after it.
-    probed = probe.withColumn("_word", word).join(
-        seed_phrases(seeds), F.col("_word") == F.col("first_token")
-    )
-    start_of = lambda i: (
-        f"get(_starts, int(({i}) div {_BLOCK})) + length(array_join("
-        f"slice(_pieces, int(({i}) div {_BLOCK}) * {_BLOCK} + 1, int(({i}) % {_BLOCK})), ''))"
-    )
-    same = (F.col("n_tokens") == 1) | (lowered("_at + 1", "n_tokens") == F.col("phrase"))
+    same = (F.col("n_tokens") == 1) | (lowered("_j + 1", "n_tokens") == F.col("phrase"))
     hit = tx.once(
         probed,
         _kept=same & free_of(near_left, "left_forbidden") & free_of(near_right, "right_forbidden"),
-        _b=F.expr(f"{start_of('_at')} + length(_piece) - length(_word)"),
-        _e=F.expr(
-            f"{start_of('_at + n_tokens - 1')} + length(get(_pieces, _at + n_tokens - 1))"
+        _from=F.expr(
+            "char_start + _at + length(array_join(slice(_window, 1, _j), '')) "
+            "+ length(_piece) - length(_word)"
         ),
+        surface=tx.trimmed_start(F.expr("array_join(slice(_window, _j + 1, n_tokens), '')")),
     ).filter("_kept")
     return hit.select(
         "doc_id",
         "chunk_id",
-        (F.col("char_start") + F.col("_b")).alias("char_start"),
-        (F.col("char_start") + F.col("_e")).alias("char_end"),
-        F.expr("substring(text, _b + 1, _e - _b)").alias("surface"),
+        F.col("_from").alias("char_start"),
+        (F.col("_from") + F.length("surface")).alias("char_end"),
+        "surface",
         "class_",
         F.lit("gazetteer").alias("source"),
         F.lit(1.0).alias("confidence"),

@@ -117,12 +117,12 @@ def lines(documents: DataFrame, doc_id: str = "document_id", text: str = "markdo
     sized = tx.once(split, _lengths=F.expr("transform(_lines, p -> length(p))"))
     located = tx.once(sized, _starts=tx.running_totals("_lengths"))
     return located.select(
-        "document_id", "_starts", F.posexplode("_lines").alias("line_no", "_line")
+        "document_id", F.posexplode(F.arrays_zip("_lines", "_starts")).alias("line_no", "_line")
     ).select(
         "document_id",
         "line_no",
-        F.expr("get(_starts, line_no)").alias("char_offset"),
-        F.expr(r"rtrim('\n', _line)").alias("line"),
+        F.col("_line._starts").alias("char_offset"),
+        F.expr(r"rtrim('\n', _line._lines)").alias("line"),
     )
 
 

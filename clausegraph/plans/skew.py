@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausegraph.functions.text import once
+
 SET_BLOCK = 256
 RANGE_BLOCK = 4096
 
@@ -17,18 +19,15 @@ def pairs_of_sets(sets: DataFrame, members: str, count: str) -> DataFrame:
     pairs that are spread over the cluster, so no task expands a whole set.
     Pair counts combine on the map side before the shuffle.
     """
-    n_blocks = F.ceil(F.size(members) / F.lit(SET_BLOCK)).cast("int")
-    cut = sets.filter(F.size(members) > 1).select(
-        count,
-        F.expr(f"slice({members}, 1, size({members}))").alias("_all"),
-        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("_i"),
-        n_blocks.alias("_blocks"),
-    )
-    left = F.expr(f"slice(_all, _i * {SET_BLOCK} + 1, {SET_BLOCK})")
-    right = F.expr(f"slice(_all, _j * {SET_BLOCK} + 1, {SET_BLOCK})")
+    cut = F.expr(f"""
+      transform(sequence(0, int((size({members}) - 1) div {SET_BLOCK})),
+                i -> slice({members}, i * {SET_BLOCK} + 1, {SET_BLOCK}))""")
+    crossed = F.expr("""
+      flatten(transform(_cut, (x, i) -> transform(slice(_cut, i + 1, size(_cut)),
+                                                  y -> named_struct('_left', x, '_right', y))))""")
     blocks = (
-        cut.select("*", F.explode(F.expr("sequence(_i, _blocks - 1)")).alias("_j"))
-        .select(count, left.alias("_left"), right.alias("_right"))
+        once(sets.filter(F.size(members) > 1), _cut=cut)
+        .select(count, F.inline(crossed))
         .repartition("_left", "_right")
     )
     return (
