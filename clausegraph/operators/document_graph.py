@@ -170,7 +170,9 @@ def outgoing(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
     out = edges.select(
         F.col("source").alias("id"), "target", "type", F.col("reason").alias("edge_reason")
     )
-    return nodes_.join(out, "id", "left")
+    # Inner join plus the rest: a hot source can be split only this way.
+    without = nodes_.join(out.select("id").distinct(), "id", "left_anti")
+    return nodes_.join(out, "id").unionByName(without, allowMissingColumns=True)
 
 
 def subset(declared: DataFrame, manifest: DataFrame, chosen: DataFrame) -> DataFrame:

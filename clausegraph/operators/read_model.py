@@ -149,7 +149,10 @@ def paragraph_connections(
     """One row per paragraph and connection; a paragraph without any keeps one."""
     head = paragraph_index(paragraph_rows, verdicts, nodes)
     shown = rendered_connections(verdicts, nodes, clauses).withColumnRenamed("paragraph", "number")
-    return head.join(shown, "number", "left")
+    # An inner join, since Spark can split a hot paragraph on either side of
+    # it; the count already tells which paragraphs have nothing to join.
+    bare = head.filter("connection_count = 0")
+    return head.join(shown, "number").unionByName(bare, allowMissingColumns=True)
 
 
 def requested_paragraphs(requests: DataFrame, index: DataFrame) -> DataFrame:

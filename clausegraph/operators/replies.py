@@ -11,10 +11,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from clausegraph.functions.text import once
+
 _OPENING = re.compile(r"[\[{]")
 
 
@@ -40,15 +42,16 @@ def _salvaged(bodies: pd.Series) -> pd.Series:
     return bodies.map(arrays_within, na_action="ignore")
 
 
-def reply_bodies(replies: DataFrame) -> DataFrame:
-    """Replies with `body`: trimmed, without one surrounding code fence."""
+def _body() -> Column:
+    """The raw text trimmed, without one surrounding code fence."""
     trimmed = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    opened = F.regexp_replace("_t", r"^```[^\n]*\n?", "")
+    opened = F.regexp_replace(trimmed, r"^```[^\n]*\n?", "")
     closed = F.regexp_replace(opened, r"(?:^|\n)[^\S\n]*```[^\S\n]*$", "")
-    body = F.when(F.startswith("_t", F.lit("```")), closed).otherwise(F.col("_t"))
-    return replies.withColumn("_t", trimmed).withColumn(
-        "body", F.regexp_replace(body, r"^\s+|\s+$", "")
-    ).drop("_t")
+    body = F.when(F.startswith(trimmed, F.lit("```")), closed).otherwise(trimmed)
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
+
+
+_PAIR = "try_variant_get(try_parse_json(concat('[', {}, ',0]')), '$', 'array<variant>')"
 
 
 def _strict(text: str) -> str:
@@ -57,60 +60,61 @@ def _strict(text: str) -> str:
     The parser ignores what follows a value, so the text is read as the first
     of exactly two array items.
     """
-    pair = f"try_variant_get(try_parse_json(concat('[', {text}, ',0]')), '$', 'array<variant>')"
+    pair = _PAIR.format(text)
     return f"if(size({pair}) = 2, {pair}[0], null)"
 
 
 def _classified(replies: DataFrame) -> DataFrame:
-    lines = F.expr(r"filter(transform(split(body, '\n'), l -> trim(l)), l -> l != '')")
+    """Replies with body, form and value, each worked out once per row."""
+    lines = r"filter(transform(split(body, '\n'), l -> trim(l)), l -> l != '')"
     every = f"size(_lines) >= 2 and forall(_lines, l -> {_strict('l')} is not null)"
-    return (
-        reply_bodies(replies)
-        .withColumn("_value", F.expr(_strict("body")))
-        .withColumn("_lines", lines)
-        .withColumn(
-            "form",
-            F.when(F.col("body") == "", "empty")
-            .when(F.expr("_value is not null"), "value")
-            .when(F.expr(every), "lines")
-            .otherwise("mixed"),
-        )
+    read = once(once(replies, body=_body()), _pair=F.expr(_PAIR.format("body")))
+    valued = once(
+        read,
+        _value=F.expr("if(size(_pair) = 2, _pair[0], null)"),
+        _lines=F.expr(f"if(size(_pair) = 2, null, {lines})"),
+    ).drop("_pair")
+    return once(
+        valued,
+        form=F.when(F.col("body") == "", "empty")
+        .when(F.expr("_value is not null"), "value")
+        .when(F.expr(every), "lines")
+        .otherwise("mixed"),
     )
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
     """(reply_id, form, is_list, items): one row per reply.
 
-    `items` holds each item as JSON text, null for an error.  Only replies
-    that no built-in parser accepts reach the Python helper.
+    `items` holds each item as JSON text, null for an error.  Only the text
+    of replies that no built-in parser accepts reaches the Python helper.
     """
-    rows = _classified(replies)
-    is_list = F.expr("schema_of_variant(_value) like 'ARRAY%'")
-    straight = rows.filter("form <> 'mixed'").select(
-        "reply_id",
-        F.when(F.col("form") == "empty", "error").otherwise(F.col("form")).alias("form"),
-        F.when(F.col("form") == "value", is_list).when(F.col("form") == "lines", True).alias("is_list"),
+    rows = _classified(replies).withColumn(
+        "_found", _salvaged(F.when(F.col("form") == "mixed", F.col("body")))
+    )
+    array_value = F.expr("schema_of_variant(_value) like 'ARRAY%'")
+    is_value, is_lines = F.col("form") == "value", F.col("form") == "lines"
+    is_mixed = F.col("form") == "mixed"
+    items = (
         F.when(
-            F.col("form") == "value",
-            F.when(
-                is_list,
-                F.expr("transform(try_variant_get(_value, '$', 'array<variant>'), v -> to_json(v))"),
-            ).otherwise(F.array(F.expr("to_json(_value)"))),
-        )
-        .when(
-            F.col("form") == "lines",
-            F.expr("transform(_lines, l -> to_json(try_parse_json(l)))"),
+            is_value & array_value,
+            F.expr("transform(try_variant_get(_value, '$', 'array<variant>'), v -> to_json(v))"),
         )
-        .alias("items"),
+        .when(is_value, F.array(F.expr("to_json(_value)")))
+        .when(is_lines, F.expr("transform(_lines, l -> to_json(try_parse_json(l)))"))
+        .otherwise(F.col("_found"))
     )
-    found = rows.filter("form = 'mixed'").select("reply_id", _salvaged("body").alias("items"))
-    mixed = found.select(
+    return rows.select(
         "reply_id",
-        F.when(F.col("items").isNull(), "error").otherwise("salvaged").alias("form"),
-        F.when(F.col("items").isNotNull(), True).alias("is_list"),
-        "items",
+        F.when(is_value | is_lines, F.col("form"))
+        .when(is_mixed & F.col("_found").isNotNull(), "salvaged")
+        .otherwise("error")
+        .alias("form"),
+        F.when(is_value, array_value)
+        .when(is_lines | (is_mixed & F.col("_found").isNotNull()), True)
+        .alias("is_list"),
+        items.alias("items"),
     )
-    return straight.unionByName(mixed)
 
 
 def reply_items(parsed: DataFrame) -> DataFrame:

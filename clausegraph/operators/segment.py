@@ -112,7 +112,7 @@ def lines(documents: DataFrame, doc_id: str = "document_id", text: str = "markdo
     """(document_id, line_no, char_offset, line), terminators left out."""
     split = tx.once(
         documents.select(F.col(doc_id).alias("document_id"), text),
-        _lines=tx.pieces(F.col(text), tx.LINE_PIECE),
+        _lines=tx.line_pieces(F.col(text)),
     ).drop(text)
     sized = tx.once(split, _lengths=F.expr("transform(_lines, p -> length(p))"))
     located = tx.once(sized, _starts=tx.running_totals("_lengths"))
@@ -143,7 +143,7 @@ def line_kind(line: Column) -> Column:
 
 def _boundaries(documents: DataFrame) -> DataFrame:
     """Each document with its lines and the boundary rows found in them."""
-    split = tx.once(documents, _lines=tx.pieces(F.col("markdown"), tx.LINE_PIECE)).drop("markdown")
+    split = tx.once(documents, _lines=tx.line_pieces(F.col("markdown"))).drop("markdown")
     strip = "'" + "".join(f"\\u{ord(c):04X}" for c in STRIPPED) + "'"
     noted = tx.once(
         split,

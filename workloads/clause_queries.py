@@ -320,3 +320,17 @@ def clauses_not_verbatim(spark, sf_dir):
     """Must be empty: clause texts that are not in their document."""
     docs = ci.policies(spark, sf_dir)
     return ql.clauses_not_verbatim(sg.segmented_clauses(docs), docs)
+
+
+@query(
+    "document_set",
+    """SELECT 'd' || doc_id AS document_id, source AS policy_id, doc_id AS version_seq, NULL AS kind
+FROM documents UNION ALL SELECT 'B' || item_id, 'pol' || (item_id % 4), item_id, 'reference'
+FROM benchmark""",
+)
+def document_set(spark, sf_dir):
+    references = ti.table(spark, sf_dir, "benchmark").selectExpr(
+        "concat('B', item_id) AS document_id", "concat('pol', item_id % 4) AS policy_id",
+        "cast(item_id AS int) AS version_seq", "'reference' AS kind",
+    )
+    return dg.document_set(ci.manifest(spark, sf_dir), references)

@@ -13,6 +13,7 @@ from clausegraph.operators import quality as ql
 from clausegraph.operators import replies as rp
 from clausegraph.operators import resolve as rs
 from clausegraph.plans.lineage import cut
+from clausegraph.sources.readers import spread
 from workloads import clause_inputs as ci
 from workloads import relation_inputs as ri
 from workloads import text_inputs as ti
@@ -40,7 +41,7 @@ parsed AS (
 
 def _parsed(spark, sf_dir):
     raw = F.expr(_RAW.format(nl="'\\n'").replace("{{", "{").replace("}}", "}"))
-    replies = table(spark, sf_dir, "events").select(
+    replies = spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").cast("string").alias("reply_id"), raw.alias("raw")
     )
     return rp.parsed_replies(replies)
