@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, decontaminate, token_counts
+from clausegraph.llm import byte_bpe, chat, decontaminate, quality, token_counts, toxicity
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,3 +61,55 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{_CONTROL}'),
+o AS (
+  SELECT *, {chat.OVERHEAD} + len(regexp_extract_all(text, '{chat.TOKEN}')) AS tokens,
+    24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10)))
+       + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars
+  FROM t),
+p AS (
+  SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS last,
+    sum(tokens) OVER (PARTITION BY conv_id) AS total
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+q AS (SELECT *, last - tokens AS first, floor((last - tokens) / {chat.BUDGET - chat.HISTORY}) AS win FROM p),
+r AS (SELECT *, max(last) OVER (PARTITION BY conv_id, win) AS closes, place = 0 AND role = 'system' AS sys FROM q)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(sum(chars) FILTER (NOT sys AND closes < total AND closes - first <= {chat.HISTORY}), 0)
+    + coalesce(max(chars) FILTER (sys), 0) * (count(DISTINCT win) - 1))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
+@query("op7_chat_windows", OP7_SQL)
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(_CONTROL)
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    read = chat.read_windows(chat.format_windows(turns))
+    return read.select(
+        "conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
