@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, chat, decontaminate, pii, quality, token_counts, toxicity
+from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, pii, quality, token_counts, toxicity
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,3 +124,27 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans")
     )
+
+
+_SOLID = r"[^\x20\x09-\x0D]+"
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {words_sql(_SOLID)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS (
+  SELECT x.a, x.b FROM (
+    SELECT p.rid AS a, q.rid AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.rid < q.rid GROUP BY ALL) x
+  JOIN n na ON na.rid = x.a JOIN n nb ON nb.rid = x.b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS rid, min(d.doc_id) AS least FROM r JOIN d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m.least, doc_id)) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
+
+@query("op9_jaccard_join", OP9_SQL)
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
