@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, pii, quality, token_counts, toxicity
+from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, pii, quality, token_counts, toxicity, vector_forest
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -148,3 +148,8 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
 @query("op9_jaccard_join", OP9_SQL)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_vector_forest")
+def op2_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
