@@ -343,10 +343,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def row_key(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-
-
 def join_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, node, label) of every row; rows of one label are linked.
 
@@ -411,10 +407,11 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     Of repeated rows of that id one stays.
     """
     joined = cut(join_documents(documents))
+    key = "_row"
+    while key in documents.columns:
+        key += "_"
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    chosen = joined.filter("label is not null").groupBy("label").agg(F.min_by("row", order).alias("_row")).select("_row")
-    empty = joined.filter("label is null").select(F.col("row").alias("_row")).distinct()
-    keyed = row_key(documents)
-    return (
-        keyed.join(chosen, "_row").dropDuplicates(["_row"]).unionByName(keyed.join(empty, "_row")).drop("_row")
-    )
+    chosen = joined.filter("label is not null").groupBy("label").agg(F.min_by("row", order).alias(key)).select(key)
+    empty = joined.filter("label is null").select(F.col("row").alias(key)).distinct()
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    return keyed.join(chosen, key).dropDuplicates([key]).unionByName(keyed.join(empty, key)).drop(key)

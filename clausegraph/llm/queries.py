@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, pii, quality, token_counts, toxicity, vector_forest
+from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, label_sharding, pii, quality, token_counts, toxicity, vector_forest
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,3 +153,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_vector_forest")
 def op2_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_label_sharding")
+def op6_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_sharding.assign(table(spark, sf_dir, "documents"))
