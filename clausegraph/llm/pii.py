@@ -251,7 +251,7 @@ def mask(documents: DataFrame, sure: float = SURE) -> DataFrame:
     """`documents` with each span of personal data in `text` replaced by `<KIND>`; null texts stay null.
 
     Rows, not ids, are treated, so repeated and null ids are safe; overlapping
-    spans are masked once, by the one that begins first.
+    spans are masked together, named by the one that begins first.
     """
     model = fit(candidates(documents.select(F.lit(0).alias("doc_id"), "text")))
     found = apply_model(candidates(documents.select(F.struct("*").alias("doc_id"), "text")), model, sure)
@@ -268,7 +268,7 @@ def mask(documents: DataFrame, sure: float = SURE) -> DataFrame:
                 s["last"].alias("at"),
                 F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["first"] - a["at"]), F.get(labels, s["kind"]))).alias("out"),
             ),
-        ).otherwise(a),
+        ).otherwise(F.struct(F.greatest(a["at"], s["last"]).alias("at"), a["out"].alias("out"))),
     )
     df = once(df, kept=kept)
     masked = F.concat(F.array_join("kept.out", ""), F.substring(text, F.col("kept.at") + 1, F.char_length(text)))

@@ -40,6 +40,8 @@ class Counter:
             piece = self.model.id_to_piece(i)
             if _SPACE in piece.lstrip(_SPACE):
                 raise ValueError(f"piece {piece!r} crosses a word border: pre-tokens can't be counted alone")
+        #: Pieces of one space at the end of a text: given alone, the library would see no text.
+        self.last_space = len(self.model.encode("a ")) - len(self.model.encode("a"))
         self.known: dict[str, int] = {}
 
     def pieces(self, words: list[str]) -> np.ndarray:
@@ -83,8 +85,12 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 4096) -> DataFram
             spaced[doc[blank]] = True
             spaced &= sizes > 1
             words, owner = [], []
+            tokens = np.zeros(batch.num_rows, np.int64)
             for d in np.flatnonzero(spaced):
                 found = [w[1:] for w in _PRE_TOKEN.findall(" " + texts[int(d)].as_py())]
+                if found[-1] == "":
+                    found.pop()
+                    tokens[d] = counter.last_space
                 words += found
                 owner += [d] * len(found)
             plain = ~spaced[doc]
@@ -95,7 +101,7 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 4096) -> DataFram
             # frequencies per document and distinct pre-token, joined to the counts
             pair, frequency = np.unique(doc * width + np.asarray(coded.indices), return_counts=True)
             total = np.bincount(pair // width, weights=frequency * counts[pair % width] if len(pair) else None, minlength=batch.num_rows)
-            tokens = np.rint(total).astype(np.int64)
+            tokens += np.rint(total).astype(np.int64)
             arrays = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
