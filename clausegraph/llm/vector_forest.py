@@ -171,7 +171,7 @@ def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST) -> Da
             .select("node", "cell", "vector", "low", "high")
             .mapInArrow(_reroute, "node bigint, cell bigint, stuck boolean")
         )
-        rest = members.join(over, "cell", "left_anti")
+        rest = members.join(over, "cell", "left_anti").select("node", "cell")
         stuck = moved.filter("stuck").select("node", "cell")
         still = moved.filter("not stuck").select("node", "cell")
         settled = rest.union(stuck) if settled is None else settled.union(rest).union(stuck)
