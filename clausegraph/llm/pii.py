@@ -113,13 +113,13 @@ def _shape(kind: str, m: Column) -> Column:
     return _vote(n.between(9, 13), F.lit(True))
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """(doc_id, spans): all candidate spans of every row, with votes and features.
+def candidates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*carry, spans): all candidate spans of every row, with votes and features.
 
     A span is (kind, first, last, base, votes, length, style): code points, end
     exclusive; `kind` is the place in `KINDS`; a null text has no spans.
     """
-    df = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    df = documents.select(*carry, F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     digit = F.col("text").rlike("[0-9]")
     found = {}
@@ -160,7 +160,7 @@ def candidates(documents: DataFrame) -> DataFrame:
         made = F.transform(f"m{i}", lambda m, k: F.when(worth[kind](m) if kind in worth else F.lit(True), span(m, k)))
         return F.filter(made, lambda s: s.isNotNull())
 
-    return df.select("doc_id", F.concat(*[spans(i) for i in n]).alias("spans"))
+    return df.select(*carry, F.concat(*[spans(i) for i in n]).alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -230,13 +230,14 @@ def find_personal_data(documents: DataFrame, sure: float = SURE) -> DataFrame:
 
 
 def apply_model(found: DataFrame, model: SpanModel, sure: float = SURE) -> DataFrame:
-    """(doc_id, base, spans) from candidates and a fitted model."""
+    """The candidates' carried columns with `base` and `spans` by a fitted model."""
+    carried = [c for c in found.columns if c != "spans"]
     short = lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"))
     strict = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), short))
     df = once(found, base=strict)
     clear = lambda s: ~F.exists("base", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"]))
     more = F.transform(F.filter("spans", lambda s: ~s["base"] & (model.score(s) >= sure) & clear(s)), short)
-    return df.select("doc_id", "base", F.array_sort(F.array_distinct(F.concat("base", more))).alias("spans"))
+    return df.select(*carried, "base", F.array_sort(F.array_distinct(F.concat("base", more))).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -254,10 +255,12 @@ def mask(documents: DataFrame, sure: float = SURE) -> DataFrame:
     spans are masked together, named by the one that begins first.
     """
     model = fit(candidates(documents.select(F.lit(0).alias("doc_id"), "text")))
-    found = apply_model(candidates(documents.select(F.struct("*").alias("doc_id"), "text")), model, sure)
+    names = {c: f"_c{i}" for i, c in enumerate(documents.columns)}
+    packed = documents.select(*[F.col(c).alias(n) for c, n in names.items()], "text")
+    found = apply_model(candidates(packed, tuple(names.values())), model, sure)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
-    df = once(found.select(F.col("doc_id").alias("row"), "spans"), ordered=ordered)
-    text = F.col("row.text")
+    df = once(found.drop("base"), ordered=ordered)
+    text = F.col(names["text"])
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     kept = F.aggregate(
         "ordered",
@@ -273,4 +276,4 @@ def mask(documents: DataFrame, sure: float = SURE) -> DataFrame:
     df = once(df, kept=kept)
     masked = F.concat(F.array_join("kept.out", ""), F.substring(text, F.col("kept.at") + 1, F.char_length(text)))
     final = F.when(F.size("spans") > 0, masked).otherwise(text)
-    return df.select(*[(final if c == "text" else F.col("row").getField(c)).alias(c) for c in documents.columns])
+    return df.select(*[(final if c == "text" else F.col(n)).alias(c) for c, n in names.items()])
