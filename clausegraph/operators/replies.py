@@ -2,44 +2,36 @@
 
 A reply counts when it is a JSON value, else when it is at least two lines
 that are each a JSON value, else when arrays can be found in it.  Anything
-else is an error row; nothing is half read.
+else is an error row; nothing is half read.  Items are the text as it stands.
+
+All of it is array work inside the row.  The text is cut into tokens (strings,
+brackets, commas, the rest); running depths give every opening bracket its
+level, and sorting brackets by level puts each beside the one that closes it.
+Work grows with the length of the text, not with what fails to parse.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from clausegraph.functions.text import once
+from clausegraph.functions.text import once, running_totals
 
-_OPENING = re.compile(r"[\[{]")
+DEEPEST = 500
 
+_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"|[\[\]{},]|[^"\[\]{},]++|"'
+_END = '"~the end of the reply~"'
+_BLANK = "' \\t\\r\\n'"
 
-def arrays_within(body: str) -> list[str] | None:
-    """Items of every top-level array in the text; None without an array."""
-    decoder = json.JSONDecoder()
-    items, found, at = [], False, _OPENING.search(body)
-    while at:
-        try:
-            value, after = decoder.raw_decode(body, at.start())
-        except ValueError:
-            after = at.start() + 1
-        else:
-            if isinstance(value, list):
-                found = True
-                items += [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in value]
-        at = _OPENING.search(body, after)
-    return items if found else None
 
+def is_json(text: str) -> str:
+    """SQL: whether the whole text is one JSON value; repeated keys, NaN and long numbers are fine.
 
-@F.pandas_udf(ArrayType(StringType()))
-def _salvaged(bodies: pd.Series) -> pd.Series:
-    return bodies.map(arrays_within, na_action="ignore")
+    A parser may ignore what follows a value, so the text is read as the first
+    of exactly two array items.
+    """
+    items = f"from_json(concat('[', {text}, ',{_END}]'), 'array<string>', map('allowSingleQuotes', 'false'))"
+    return f"coalesce(size({items}) = 2 and element_at({items}, 2) = {_END.replace(chr(34), chr(39))}, false)"
 
 
 def _body() -> Column:
@@ -51,68 +43,106 @@ def _body() -> Column:
     return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
-_PAIR = "try_variant_get(try_parse_json(concat('[', {}, ',0]')), '$', 'array<variant>')"
+def _with_arrays(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add `out`: the items of the outermost arrays in the text, null where there is none,
+    and `out`_any: whether any bracketed value was found.
 
-
-def _strict(text: str) -> str:
-    """SQL: the whole text as one VARIANT, null unless all of it is JSON.
-
-    The parser ignores what follows a value, so the text is read as the first
-    of exactly two array items.
+    Brackets inside an outer value are its own; brackets of text that is no
+    JSON value stand for themselves.  Deeper nesting than `DEEPEST` finds nothing.
     """
-    pair = _PAIR.format(text)
-    return f"if(size({pair}) = 2, {pair}[0], null)"
-
-
-def _classified(replies: DataFrame) -> DataFrame:
-    """Replies with body, form and value, each worked out once per row."""
-    lines = r"filter(transform(split(body, '\n'), l -> trim(l)), l -> l != '')"
-    every = f"size(_lines) >= 2 and forall(_lines, l -> {_strict('l')} is not null)"
-    read = once(once(replies, body=_body()), _pair=F.expr(_PAIR.format("body")))
-    valued = once(
-        read,
-        _value=F.expr("if(size(_pair) = 2, _pair[0], null)"),
-        _lines=F.expr(f"if(size(_pair) = 2, null, {lines})"),
-    ).drop("_pair")
-    return once(
-        valued,
-        form=F.when(F.col("body") == "", "empty")
-        .when(F.expr("_value is not null"), "value")
-        .when(F.expr(every), "lines")
-        .otherwise("mixed"),
+    cut = once(df, _tok=F.coalesce(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>")))
+    stepped = once(
+        cut, _step=F.expr("transform(_tok, t -> case when t in ('[', '{') then 1 when t in (']', '}') then -1 else 0 end)")
     )
+    deep = once(stepped, _depth=running_totals("_step"))
+    # openings at their level, closings at the level of what they close
+    levelled = once(
+        deep,
+        _ends=F.expr("""
+          array_sort(filter(
+            transform(_tok, (t, i) -> named_struct(
+              'level', get(_depth, i) + if(get(_step, i) < 0, -1, 0), 'at', i, 'step', get(_step, i), 'sign', t)),
+            e -> e.step <> 0))"""),
+    )
+    paired = once(
+        levelled,
+        _pairs=F.expr(f"""
+          if(exists(_depth, d -> d > {DEEPEST}), cast(array() as array<struct<first:int,last:int,level:int>>),
+            transform(
+              filter(
+                transform(_ends, (e, i) -> named_struct('open', e, 'close', get(_ends, i + 1))),
+                p -> p.open.step = 1 and p.close.step = -1 and p.open.level = p.close.level
+                     and (p.open.sign = '[') = (p.close.sign = ']')),
+              p -> named_struct('first', p.open.at, 'last', p.close.at, 'level', p.open.level)))"""),
+    )
+    valid = once(
+        paired,
+        _valid=F.expr(
+            f"filter(_pairs, p -> {is_json('array_join(slice(_tok, p.first + 1, p.last - p.first + 1), ' + repr('') + ')')})"
+        ),
+    )
+    # a valid value is outermost where no other one is open
+    marked = once(
+        valid,
+        _marks=F.expr("""
+          array_sort(concat(
+            transform(_valid, p -> named_struct('at', p.first, 'step', 1, 'value', p)),
+            transform(_valid, p -> named_struct('at', p.last, 'step', -1, 'value', p))))"""),
+    )
+    counted = once(once(marked, _moves=F.expr("transform(_marks, m -> m.step)")), _open=running_totals("_moves"))
+    outer = once(
+        counted,
+        _outer=F.expr("""
+          transform(
+            filter(
+              transform(_marks, (m, i) -> named_struct('m', m, 'open', get(_open, i))),
+              x -> x.m.step = 1 and x.open = 0 and get(_tok, x.m.at) = '['),
+            x -> x.m.value)"""),
+    )
+    split = once(
+        outer,
+        _cuts=F.expr("""
+          transform(_outer, p -> concat(array(p.first),
+            filter(sequence(p.first + 1, p.last - 1 + int(p.last = p.first + 1)),
+                   i -> get(_tok, i) = ',' and get(_depth, i) = p.level + 1),
+            array(p.last)))"""),
+    )
+    items = F.expr(f"""
+      if(size(_outer) = 0, null, flatten(transform(_cuts, c -> filter(
+        transform(slice(c, 2, size(c)), (to, k) ->
+          trim(both {_BLANK} from array_join(slice(_tok, get(c, k) + 2, to - get(c, k) - 1), ''))),
+        item -> item <> ''))))""")
+    made = once(split, **{out: items, f"{out}_any": F.size("_valid") > 0})
+    return made.drop("_tok", "_step", "_depth", "_ends", "_pairs", "_valid", "_marks", "_moves", "_open", "_outer", "_cuts")
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
-    """(reply_id, form, is_list, items): one row per reply.
+    """(reply_id, form, is_list, items): one row per reply; `items` is null for an error.
 
-    `items` holds each item as JSON text, null for an error.  Only the text
-    of replies that no built-in parser accepts reaches the Python helper.
+    In a text that is no JSON an array may stand between quotation marks; if no
+    value is found outside them, the text is read again with inside and outside
+    exchanged.
     """
-    rows = _classified(replies).withColumn(
-        "_found", _salvaged(F.when(F.col("form") == "mixed", F.col("body")))
-    )
-    array_value = F.expr("schema_of_variant(_value) like 'ARRAY%'")
-    is_value, is_lines = F.col("form") == "value", F.col("form") == "lines"
-    is_mixed = F.col("form") == "mixed"
+    lines = r"filter(transform(split(body, '\n'), l -> trim(both ' \t\r' from l)), l -> l != '')"
+    read = once(once(replies, body=_body()), _value=F.expr(f"body <> '' and {is_json('body')}"))
+    lined = once(read, _lines=F.expr(f"if(_value, null, {lines})"))
+    formed = once(lined, _each=F.expr(f"coalesce(size(_lines) >= 2 and forall(_lines, l -> {is_json('l')}), false)"))
+    array = F.col("_value") & F.startswith("body", F.lit("["))
+    mixed = ~F.col("_value") & ~F.col("_each") & (F.col("body") != "")
+    plain = _with_arrays(formed, F.when(array | mixed, F.col("body")), "_found")
+    quoted = F.when(mixed & ~F.col("_found_any"), F.regexp_extract("body", r'(?s)^[^"]*"(.*)$', 1))
+    rows = _with_arrays(plain, quoted, "_again").withColumn("_found", F.coalesce("_found", "_again"))
+    salvaged = mixed & F.col("_found").isNotNull()
     items = (
-        F.when(
-            is_value & array_value,
-            F.expr("transform(try_variant_get(_value, '$', 'array<variant>'), v -> to_json(v))"),
-        )
-        .when(is_value, F.array(F.expr("to_json(_value)")))
-        .when(is_lines, F.expr("transform(_lines, l -> to_json(try_parse_json(l)))"))
+        F.when(array, F.coalesce("_found", F.array().cast("array<string>")))
+        .when(F.col("_value"), F.array("body"))
+        .when(F.col("_each"), F.col("_lines"))
         .otherwise(F.col("_found"))
     )
     return rows.select(
         "reply_id",
-        F.when(is_value | is_lines, F.col("form"))
-        .when(is_mixed & F.col("_found").isNotNull(), "salvaged")
-        .otherwise("error")
-        .alias("form"),
-        F.when(is_value, array_value)
-        .when(is_lines | (is_mixed & F.col("_found").isNotNull()), True)
-        .alias("is_list"),
+        F.when(F.col("_value"), "value").when(F.col("_each"), "lines").when(salvaged, "salvaged").otherwise("error").alias("form"),
+        F.when(F.col("_value"), array).when(F.col("_each") | salvaged, True).alias("is_list"),
         items.alias("items"),
     )
 

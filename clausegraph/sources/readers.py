@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a table that was read in fewer splits than there are cores.
-
-    A large table already has many splits and passes through untouched, so
-    nothing is shuffled where it would cost anything.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """JSON Lines with a given schema; blank lines give no row."""
     return spark.read.schema(schema).json(path)

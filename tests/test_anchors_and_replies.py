@@ -50,19 +50,33 @@ def test_anchors_place_slice_and_drop(spark, docs):
 
 CASES = [
     ("[1, 2, 3]", "value", ["1", "2", "3"]),
-    ('{"a": 1}', "value", ['{"a":1}']),
-    ('```json\n[{"clause": "P 1"}]\n```', "value", ['{"clause":"P 1"}']),
-    ('```\n{"ok": true}\n```', "value", ['{"ok":true}']),
+    ('{"a": 1}', "value", ['{"a": 1}']),
+    ('```json\n[{"clause": "P 1"}]\n```', "value", ['{"clause": "P 1"}']),
+    ('```\n{"ok": true}\n```', "value", ['{"ok": true}']),
     ("   \n  [1]  \n ", "value", ["1"]),
     ("", "error", None),
     ("  \n\t ", "error", None),
     ("{not json", "error", None),
-    ('{"a": 1}\n{"a": 2}', "lines", ['{"a":1}', '{"a":2}']),
-    ('```json\n{"a": 1}\n{"a": 2}\n```', "lines", ['{"a":1}', '{"a":2}']),
+    ('{"a": 1}\n{"a": 2}', "lines", ['{"a": 1}', '{"a": 2}']),
+    ('```json\n{"a": 1}\n{"a": 2}\n```', "lines", ['{"a": 1}', '{"a": 2}']),
     ('{"a": 1}\n{not json}', "error", None),
-    ('{\n "c": []\n}\n\n[{"n": "8"}, {"n": "9"}]', "salvaged", ['{"n":"8"}', '{"n":"9"}']),
-    ('[{"n": "1.1"}]\n\nThat is all.', "salvaged", ['{"n":"1.1"}']),
+    ('{\n "c": []\n}\n\n[{"n": "8"}, {"n": "9"}]', "salvaged", ['{"n": "8"}', '{"n": "9"}']),
+    ('[{"n": "1.1"}]\n\nThat is all.', "salvaged", ['{"n": "1.1"}']),
     ('{\n "c": []\n}\n\nNothing here.', "error", None),
+    ('[{"b": 1.0, "a": 1e2}]', "value", ['{"b": 1.0, "a": 1e2}']),
+    ("[123456789012345678901234567890123456789012345]", "value", ["123456789012345678901234567890123456789012345"]),
+    ('{"k": 1, "k": 2}', "value", ['{"k": 1, "k": 2}']),
+    ('[{"k": 1, "k": 2}, NaN]', "value", ['{"k": 1, "k": 2}', "NaN"]),
+    ("[]", "value", []),
+    ('[ "a, b", [1, [2, 3]], {"x": "]"} ]', "value", ['"a, b"', "[1, [2, 3]]", '{"x": "]"}']),
+    ('see [not json [1, 2] and {"a": [3]} then ["x", "]["] end', "salvaged", ["1", "2", '"x"', '"]["']),
+    ('he said "use [1, 2] here" twice', "salvaged", ["1", "2"]),
+    ("it's 5\" [7]", "salvaged", ["7"]),
+    ("['a']", "error", None),
+    ("x " + "[" * 100_000, "error", None),
+    ("[" * 100_000 + "]" * 100_000, "error", None),
+    ("[1] " * 20_000, "salvaged", ["1"] * 20_000),
+    (None, "error", None),
 ]
 
 

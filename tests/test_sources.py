@@ -59,9 +59,3 @@ def test_graph_and_rows(spark, tmp_path):
 def test_cut_uses_the_named_folder(spark):
     assert cut(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir() is not None
-
-
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert readers.spread(wide) is wide
-    assert readers.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() > 1

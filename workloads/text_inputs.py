@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from clausegraph.operators import chunks as ch
 from clausegraph.operators import gazetteer as gz
 from clausegraph.operators import resolve as rs
-from clausegraph.sources.readers import spread
 from workloads.registry import table
 
 # (seed_seq, canonical, class, aliases, left_forbidden, right_forbidden)
@@ -68,7 +67,7 @@ def seeds(spark: SparkSession) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents")
-    return spread(rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
