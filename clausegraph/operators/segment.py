@@ -35,6 +35,8 @@ STRIPPED = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+_BLOCK = 128
+
 _TRIM = "' \\t\\r\\n'"
 
 
@@ -108,6 +110,29 @@ def _walk(marks: str, state: str) -> str:
       end)"""
 
 
+def _walk_in_blocks(marks: str) -> str:
+    """The boundary rows of all marks.
+
+    Appending to one long array copies it at every mark; here an array never
+    grows beyond a block, and blocks are strung together at the end.
+    """
+    state = (
+        "named_struct('heading', s.heading, 'numbered', s.numbered, 'section', s.section, "
+        f"'out', {_NO_OPENS})"
+    )
+    rows = _NO_OPENS.removeprefix("cast(array() as ").removesuffix(")")
+    return f"""
+    aggregate(
+      transform(sequence(0, int((size({marks}) + {_BLOCK - 1}) div {_BLOCK}) - 1 + int(size({marks}) = 0)),
+                b -> slice({marks}, b * {_BLOCK} + 1, {_BLOCK})),
+      named_struct('heading', cast(null as string), 'numbered', cast(null as string),
+                   'section', cast(0 as decimal(38, 0)), 'done', cast(array() as array<{rows}>)),
+      (s, block) -> element_at(transform(array({_walk("block", state)}), r -> named_struct(
+        'heading', r.heading, 'numbered', r.numbered, 'section', r.section,
+        'done', array_append(s.done, r.out))), 1),
+      s -> flatten(s.done))"""
+
+
 def lines(documents: DataFrame, doc_id: str = "document_id", text: str = "markdown") -> DataFrame:
     """(document_id, line_no, char_offset, line), terminators left out."""
     split = tx.once(
@@ -172,11 +197,7 @@ def _boundaries(documents: DataFrame) -> DataFrame:
                          try_cast(m.mark.label as decimal(38, 0)), cast(null as decimal(38, 0)))))
         """),
     ).drop("_marks")
-    start = (
-        "named_struct('heading', cast(null as string), 'numbered', cast(null as string), "
-        f"'section', cast(0 as decimal(38, 0)), 'out', {_NO_OPENS})"
-    )
-    return tx.once(flat, _found=F.expr(_walk("_flat", start) + ".out")).drop("_flat")
+    return tx.once(flat, _found=F.expr(_walk_in_blocks("_flat"))).drop("_flat")
 
 
 # Trims what belongs to the next clause from the end of a raw slice: blanks,
@@ -267,27 +288,38 @@ def _numbered(documents: DataFrame) -> DataFrame:
               transform(_cuts, (c, i) -> named_struct('key', c.parent, 'ref', 1, 'at', i)),
               r -> r.key is not null)))"""),
     )
-    group = (
-        "named_struct('key', k.key, 'first', if(k.ref = 0, k.at, cast(null as int)), "
-        "'last', if(k.ref = 0, k.at, cast(null as int)), "
-        "'kids', if(k.ref = 1, array(k.at), cast(array() as array<int>)))"
+    # a group runs from where the key changes to where it changes next
+    cut = tx.once(
+        keyed,
+        _starts=F.expr("""
+          filter(sequence(0, size(_keyed) - 1 + int(size(_keyed) = 0)),
+                 i -> i < size(_keyed) and not get(_keyed, i - 1).key <=> get(_keyed, i).key)"""),
     )
-    kind = "struct<key:string,first:int,last:int,kids:array<int>>"
+    parts = tx.once(
+        cut,
+        _parts=F.expr("""
+          transform(_starts, (f, i) -> slice(_keyed, f + 1, coalesce(get(_starts, i + 1), size(_keyed)) - f))"""),
+    ).drop("_keyed", "_starts")
+    grouped = tx.once(
+        parts,
+        _groups=F.expr("""
+          transform(_parts, p -> named_struct(
+            'key', p[0].key,
+            'defs', transform(filter(p, k -> k.ref = 0), k -> k.at),
+            'kids', transform(filter(p, k -> k.ref = 1), k -> k.at)))"""),
+    ).drop("_parts")
     return tx.once(
-        keyed,
-        _groups=F.expr(f"""
-          aggregate(_keyed,
-            named_struct('now', cast(null as {kind}), 'out', cast(array() as array<{kind}>)),
-            (s, k) -> if(s.now.key = k.key,
-              named_struct('now', named_struct(
-                  'key', k.key, 'first', s.now.first,
-                  'last', if(k.ref = 0, k.at, s.now.last),
-                  'kids', if(k.ref = 1, array_append(s.now.kids, k.at), s.now.kids)),
-                'out', s.out),
-              named_struct('now', {group},
-                'out', if(s.now is null, s.out, array_append(s.out, s.now)))),
-            s -> if(s.now is null, s.out, array_append(s.out, s.now)))"""),
-    ).drop("_keyed")
+        grouped,
+        _groups2=F.expr("""
+          transform(_groups, g -> named_struct(
+            'key', g.key, 'first', get(g.defs, 0), 'last', get(g.defs, size(g.defs) - 1), 'kids', g.kids))"""),
+        # for each clause the last one of its number
+        _last_of=F.expr("""
+          transform(
+            array_sort(flatten(transform(_groups, g ->
+              transform(g.defs, d -> named_struct('at', d, 'last', get(g.defs, size(g.defs) - 1)))))),
+            x -> x.last)"""),
+    ).drop("_groups").withColumnRenamed("_groups2", "_groups")
 
 
 def segmented_clauses(documents: DataFrame) -> DataFrame:
@@ -298,10 +330,23 @@ def segmented_clauses(documents: DataFrame) -> DataFrame:
     parent that does not exist is dropped (see `orphaned_clauses`).
     `full_text` is the stem through the last child as one slice of the text.
     """
-    grouped = tx.once(
+    lost = tx.once(
         _numbered(documents),
-        _orphans=F.expr("flatten(transform(filter(_groups, g -> g.last is null), g -> g.kids))"),
-    )
+        _lost=F.expr("""
+          array_sort(concat(
+            transform(_cuts, (c, i) -> named_struct('at', i, 'lost', 0)),
+            flatten(transform(filter(_groups, g -> g.last is null),
+                              g -> transform(g.kids, k -> named_struct('at', k, 'lost', 1))))))"""),
+    ).drop("_last_of")
+    # sorted by place, a lost clause has its second entry right behind its first
+    grouped = tx.once(
+        lost,
+        _orphan=F.expr("""
+          transform(
+            filter(transform(_lost, (x, i) -> named_struct(
+                     'lost', x.lost, 'next', coalesce(get(_lost, i + 1).lost, 0))), y -> y.lost = 0),
+            y -> y.next = 1)"""),
+    ).drop("_lost")
     composed = tx.once(
         grouped,
         _rows=F.expr(f"""
@@ -309,7 +354,7 @@ def segmented_clauses(documents: DataFrame) -> DataFrame:
             'at', g.last,
             'clause_seq', g.first,
             'children', transform(g.kids, k -> get(_cuts, k).bare),
-            'orphan', array_contains(_orphans, g.last),
+            'orphan', get(_orphan, g.last),
             'span', if(size(g.kids) = 0, cast(null as string), array_join(slice(
                 _lines, get(_cuts, g.last).line + 1,
                 greatest(0, element_at(transform(slice(g.kids, -1, 1),
@@ -353,13 +398,16 @@ def segmented_clauses(documents: DataFrame) -> DataFrame:
 
 
 def orphaned_clauses(documents: DataFrame) -> DataFrame:
-    """Drop report rows for children whose parent is not a clause."""
+    """Drop report rows for children whose parent is not a clause.
+
+    A repeated number is reported each time, with the heading of its last place.
+    """
     lost = tx.once(
         _numbered(documents),
         _lost=F.expr("""
           flatten(transform(filter(_groups, g -> g.last is null), g -> transform(
             g.kids, k -> named_struct('bare', get(_cuts, k).bare, 'parent', g.key,
-                                      'heading', get(_cuts, k).heading))))"""),
+                                      'heading', get(_cuts, get(_last_of, k)).heading))))"""),
     )
     return lost.select("document_id", "short_name", F.inline("_lost")).select(
         "document_id",

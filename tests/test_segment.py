@@ -164,3 +164,30 @@ def test_text_is_scanned_once(spark):
     # one for each kind of line ending, in one expression
     assert optimized.count("regexp_extract_all") == 2
     assert "Exchange" not in plan.split("== Physical Plan ==")[1]
+
+
+def _seconds(spark, text):
+    import time
+
+    docs = segment(spark, text)
+    began = time.perf_counter()
+    sg.segmented_clauses(docs).write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("orphans", [False, True])
+def test_time_grows_with_the_lines_of_a_document(spark, orphans):
+    def text(n):
+        line = (lambda i: f"1.{i // 50 + 1}.{i} Text of it.") if orphans else (lambda i: f"{i // 99 + 1}.{i % 99 + 1} Text of it.")
+        return "\n".join(line(i) for i in range(n))
+
+    _seconds(spark, text(1000))
+    small = min(_seconds(spark, text(8000)) for _ in range(2))
+    large = _seconds(spark, text(32000))
+    assert large < 8 * small + 4
+
+
+def test_repeated_orphans_take_the_heading_of_the_last(spark):
+    text = "1 First\n1.1.1 Lost child.\n2 Second\n2.1 Found.\n1.1.1 Lost again.\n"
+    got = sg.orphaned_clauses(segment(spark, text)).collect()
+    assert [(r.clause_number, r.heading) for r in got] == [("P 1.1.1", "2 Second")] * 2
