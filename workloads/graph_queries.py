@@ -14,8 +14,7 @@ from workloads import text_inputs as ti
 from workloads.registry import query
 from workloads.text_queries import rounded
 
-ROUNDS = 12
-DEPTH = 6
+DEPTH = 9
 
 _SETS = """
 doc_sets AS (SELECT doc_id, list_sort(list(entity_id)) AS members FROM said GROUP BY doc_id),
@@ -65,7 +64,7 @@ def similar_profiles(spark, sf_dir):
 @query(
     "requested_similarity",
     f"""WITH {_SAID}, pairs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS doc_a, CAST((doc_id * 7 + 1) % 1000 AS VARCHAR) AS doc_b
+  SELECT CAST(doc_id AS VARCHAR) AS doc_a, CAST((doc_id * 7 + 1) % (SELECT count(*) FROM documents) AS VARCHAR) AS doc_b
   FROM documents),
 n AS (SELECT p.*, coalesce(len(list_intersect(a.members, b.members)), 0) AS shared,
         coalesce(len(a.members), 0) + coalesce(len(b.members), 0) AS total
@@ -76,36 +75,37 @@ SELECT doc_a, doc_b, CASE WHEN total - shared > 0 AND doc_a <> doc_b
   WHEN doc_a = doc_b AND total > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS jaccard FROM n""",
 )
 def requested_similarity(spark, sf_dir):
-    pairs = ti.table(spark, sf_dir, "documents").selectExpr(
-        "cast(doc_id as string) AS doc_a", "cast((doc_id * 7 + 1) % 1000 as string) AS doc_b"
+    documents = ti.table(spark, sf_dir, "documents")
+    pairs = documents.join(documents.agg(F.count("*").alias("_n"))).selectExpr(
+        "cast(doc_id as string) AS doc_a", "cast((doc_id * 7 + 1) % _n as string) AS doc_b"
     )
     return rounded(sm.requested_similarity(pairs, _said(spark, sf_dir)), "jaccard")
 
 
-# --- centrality on the seed-phrase graph ------------------------------------
+# --- centrality on the entity graph ------------------------------------------
 
-_GRAPH = f"""{ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL},
+_GRAPH = f"""{ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL},
 simple AS MATERIALIZED (
   SELECT DISTINCT doc_id AS source, entity_id AS target FROM said
   UNION SELECT source, target FROM pmi),
 vertices AS MATERIALIZED (SELECT source AS id FROM simple UNION SELECT target FROM simple),
 n_all AS (SELECT count(*) AS n FROM vertices)"""
 
-_RANK = [
-    """outs AS MATERIALIZED (SELECT source, count(*) AS n_out FROM simple GROUP BY source),
-r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT n FROM n_all) AS r FROM vertices)"""
-]
-for _i in range(ROUNDS):
-    _RANK.append(
-        f"""r{_i + 1} AS MATERIALIZED (
-  SELECT v.id, 0.85::DOUBLE * coalesce(f.s, 0) + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{_i}
-      WHERE id NOT IN (SELECT source FROM outs)) / (SELECT n FROM n_all)
-    + 0.15::DOUBLE / (SELECT n FROM n_all) AS r
-  FROM vertices v LEFT JOIN (
-    SELECT e.target AS id, sum(x.r / o.n_out) AS s FROM simple e JOIN r{_i} x ON x.id = e.source
-    JOIN outs o ON o.source = e.source GROUP BY e.target) f USING (id))"""
-    )
-_RANK_SQL = ",\n".join(_RANK)
+# Rounds until the summed change is below n * tol, as the operator runs them.
+_RANK_SQL = """outs AS MATERIALIZED (SELECT source, count(*) AS n_out FROM simple GROUP BY source),
+rounds AS (
+  SELECT 0 AS k, id, 1.0::DOUBLE / (SELECT n FROM n_all) AS r, 1e9::DOUBLE AS moved FROM vertices
+  UNION ALL
+  SELECT k + 1, id, fresh, sum(abs(fresh - old)) OVER () FROM (
+    SELECT s.k, s.id, s.r AS old, 0.85::DOUBLE * coalesce(f.s, 0)
+      + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM rounds
+          WHERE id NOT IN (SELECT source FROM outs)) / (SELECT n FROM n_all)
+      + 0.15::DOUBLE / (SELECT n FROM n_all) AS fresh
+    FROM rounds s LEFT JOIN (
+      SELECT e.target AS id, sum(x.r / o.n_out) AS s FROM simple e JOIN rounds x ON x.id = e.source
+      JOIN outs o ON o.source = e.source GROUP BY e.target) f USING (id)
+    WHERE s.moved >= (SELECT n FROM n_all) * 1e-6 AND s.k < 100)),
+ranks AS (SELECT id, r FROM rounds WHERE k = (SELECT max(k) FROM rounds))"""
 
 _PATHS = ["l0 AS MATERIALIZED (SELECT id AS s, id AS v, 1.0::DOUBLE AS sigma FROM vertices)"]
 for _i in range(1, DEPTH + 1):
@@ -143,7 +143,7 @@ _BETWEEN = (
 
 
 def _edges(spark, sf_dir):
-    return eg.graph_edges(cut(ti.phrase_mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
+    return eg.graph_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
 
 
 def _simple(spark, sf_dir):
@@ -162,10 +162,10 @@ def degree(spark, sf_dir):
 
 @query(
     "pagerank",
-    f"WITH {_GRAPH}, {_RANK_SQL} SELECT id, round(r, 9) AS pagerank FROM r{ROUNDS}",
+    f"WITH RECURSIVE {_GRAPH}, {_RANK_SQL} SELECT id, round(r, 9) AS pagerank FROM ranks",
 )
 def pagerank(spark, sf_dir):
-    ranks = ce.pagerank(_simple(spark, sf_dir), max_iter=ROUNDS, tol=0.0)
+    ranks = ce.pagerank(_simple(spark, sf_dir))
     return rounded(ranks, "pagerank", places=9)
 
 
@@ -178,21 +178,21 @@ def betweenness(spark, sf_dir):
     return rounded(ce.betweenness(_simple(spark, sf_dir)), "betweenness", places=9)
 
 
-_CENTRAL = f"""WITH {_GRAPH}, {_DEGREE}, {_RANK_SQL}, {_PATHS_SQL},
+_CENTRAL = f"""WITH RECURSIVE {_GRAPH}, {_DEGREE}, {_RANK_SQL}, {_PATHS_SQL},
 central AS (
   SELECT df.entity_id AS id, coalesce(g.degree, 0)::DOUBLE AS degree, {_BETWEEN} AS betweenness,
          coalesce(round(r.r, 9), 0.0) AS pagerank
   FROM df LEFT JOIN deg g ON g.id = df.entity_id LEFT JOIN between_all b ON b.id = df.entity_id
-  LEFT JOIN r{ROUNDS} r ON r.id = df.entity_id WHERE df.mention_count >= 2)
+  LEFT JOIN ranks r ON r.id = df.entity_id WHERE df.mention_count >= 2)
 """
 
 
 def _central(spark, sf_dir):
-    said = cut(ti.phrase_mentions(spark, sf_dir))
+    said = cut(ti.mentions(spark, sf_dir))
     edges = eg.graph_edges(said, ti.corpus(spark, sf_dir))
     kept = eg.document_frequency(eg.term_counts(said)).filter("mention_count >= 2")
     nodes = kept.select(F.col("entity_id").alias("id"), F.lit("Entity").alias("node_type"))
-    rows = ce.entity_centrality(nodes, edges, max_iter=ROUNDS, tol=0.0)
+    rows = ce.entity_centrality(nodes, edges)
     return rounded(rows, "betweenness", "pagerank", places=9)
 
 
@@ -211,7 +211,7 @@ def most_central_entities(spark, sf_dir):
 
 @query(
     "graph_size",
-    f"""WITH {ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL},
+    f"""WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL},
 about AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, entity_id) AS rank
           FROM said WHERE entity_id LIKE 'topic:%')
 SELECT (SELECT count(*) FROM documents)
@@ -220,7 +220,7 @@ SELECT (SELECT count(*) FROM documents)
      + (SELECT count(*) FROM pmi) AS n_edges""",
 )
 def graph_size(spark, sf_dir):
-    said = cut(ti.phrase_mentions(spark, sf_dir))
+    said = cut(ti.mentions(spark, sf_dir))
     kept = eg.document_frequency(eg.term_counts(said)).filter("mention_count >= 2")
     nodes = ti.corpus(spark, sf_dir).select("doc_id").unionByName(
         kept.select(F.col("entity_id").alias("doc_id"))
@@ -230,7 +230,7 @@ def graph_size(spark, sf_dir):
 
 @query(
     "documents_without_mentions",
-    f"WITH {ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id "
+    f"WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id "
     "FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT doc_id FROM said)",
 )
 def documents_without_mentions(spark, sf_dir):

@@ -310,13 +310,13 @@ def rare_graph_entities(spark, sf_dir):
 
 @query(
     "unbacked_documents",
-    f"WITH {ti.PHRASE_RESOLVED_SQL} SELECT DISTINCT entity_id, doc_id FROM resolved r "
+    f"WITH {ti.ALL_RESOLVED_SQL} SELECT DISTINCT entity_id, doc_id FROM resolved r "
     "WHERE NOT EXISTS (SELECT 1 FROM resolved x WHERE x.entity_id = r.entity_id "
     "AND x.doc_id = r.doc_id AND x.char_start % 2 = 0)",
 )
 def unbacked_documents(spark, sf_dir):
     """Documents whose mentions all start at odd places, which are taken out."""
-    said = cut(ti.phrase_mentions(spark, sf_dir))
+    said = cut(ti.mentions(spark, sf_dir))
     listed = said.select("entity_id", "doc_id").distinct()
     return ql.unbacked_documents(listed, said.filter("char_start % 2 = 0"))
 

@@ -119,12 +119,6 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.resolved_spans(spans, seeds(spark))
 
 
-def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions from seed phrases only."""
-    spans = phrase_spans(spark, sf_dir)
-    return rs.mentions(rs.resolved_spans(spans, seeds(spark)))
-
-
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.mentions(resolved(spark, sf_dir))
 
@@ -174,42 +168,28 @@ phrases AS (
   FROM seed_forms)"""
 
 SPANS_SQL = rf"""
-token_rows AS (
-  SELECT doc_id, chunk_id, char_start, text,
-         unnest(regexp_extract_all(text, '{_TOKEN}')) AS piece,
-         unnest(range(len(regexp_extract_all(text, '{_TOKEN}')))) AS i
-  FROM chunks),
-token_at AS (
-  SELECT doc_id, chunk_id, char_start, text, i, lower(ltrim(piece, {_BL})) AS tok,
-         sum(length(piece)) OVER w AS e,
-         sum(length(piece)) OVER w - length(ltrim(piece, {_BL})) AS b,
-         lead(lower(ltrim(piece, {_BL})), 1) OVER n AS t1,
-         lead(lower(ltrim(piece, {_BL})), 2) OVER n AS t2,
-         lead(lower(ltrim(piece, {_BL})), 3) OVER n AS t3,
-         lead(lower(ltrim(piece, {_BL})), 4) OVER n AS t4,
-         lead(lower(ltrim(piece, {_BL})), 5) OVER n AS t5,
-         lag(lower(ltrim(piece, {_BL})), 1) OVER n AS p1,
-         lag(lower(ltrim(piece, {_BL})), 2) OVER n AS p2
-  FROM token_rows
-  WINDOW w AS (PARTITION BY chunk_id ORDER BY i ROWS UNBOUNDED PRECEDING),
-         n AS (PARTITION BY chunk_id ORDER BY i)),
-token_grams AS (
-  SELECT doc_id, chunk_id, char_start, text, i, b, k, p1, p2,
-         CASE k WHEN 1 THEN [tok] WHEN 2 THEN [tok, t1] WHEN 3 THEN [tok, t1, t2]
-                ELSE [tok, t1, t2, t3] END AS gram,
-         CASE k WHEN 1 THEN [t1, t2] WHEN 2 THEN [t2, t3] WHEN 3 THEN [t3, t4]
-                ELSE [t4, t5] END AS after
-  FROM token_at, (SELECT unnest([1, 2, 3, 4]) AS k)),
-phrase_hits AS (
-  SELECT g.*, p.seed_seq, p.class_
-  FROM token_grams g JOIN phrases p ON g.gram = p.phrase
-  WHERE NOT list_has_any([g.p1, g.p2], p.lf) AND NOT list_has_any(g.after, p.rf)),
-phrase_spans AS (
-  SELECT h.doc_id, h.chunk_id, (h.char_start + h.b)::BIGINT AS char_start,
-         (h.char_start + z.e)::BIGINT AS char_end,
-         substr(h.text, (h.b + 1)::BIGINT, (z.e - h.b)::BIGINT) AS surface,
+token_lists AS MATERIALIZED (
+  SELECT chunk_id, regexp_extract_all(text, '{_TOKEN}') AS pieces FROM chunks),
+words AS MATERIALIZED (
+  SELECT chunk_id, pieces, list_transform(pieces, lambda p: lower(ltrim(p, {_BL}))) AS toks FROM token_lists),
+firsts AS MATERIALIZED (SELECT DISTINCT phrase[1] AS tok FROM phrases),
+starts AS MATERIALIZED (
+  SELECT chunk_id, i FROM (SELECT chunk_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS i FROM words)
+  SEMI JOIN firsts USING (tok)),
+phrase_hits AS MATERIALIZED (
+  SELECT w.chunk_id, s.i, len(p.phrase) AS k, p.seed_seq, p.class_, w.pieces
+  FROM starts s JOIN words w USING (chunk_id)
+  JOIN phrases p ON p.phrase[1] = w.toks[s.i] AND w.toks[s.i:s.i + len(p.phrase) - 1] = p.phrase
+  WHERE NOT list_has_any(w.toks[greatest(s.i - 2, 1):s.i - 1], p.lf)
+    AND NOT list_has_any(w.toks[s.i + len(p.phrase):s.i + len(p.phrase) + 1], p.rf)),
+phrase_spans AS MATERIALIZED (
+  SELECT c.doc_id, c.chunk_id, (c.char_start + b)::BIGINT AS char_start, (c.char_start + e)::BIGINT AS char_end,
+         substr(c.text, (b + 1)::BIGINT, (e - b)::BIGINT) AS surface,
          h.class_, 'gazetteer' AS source, 1.0::DOUBLE AS confidence, h.seed_seq
-  FROM phrase_hits h JOIN token_at z ON z.chunk_id = h.chunk_id AND z.i = h.i + h.k - 1)"""
+  FROM (SELECT chunk_id, seed_seq, class_,
+          length(array_to_string(pieces[:i - 1], '')) + length(pieces[i]) - length(ltrim(pieces[i], {_BL})) AS b,
+          length(array_to_string(pieces[:i + k - 1], '')) AS e
+        FROM phrase_hits) h JOIN chunks c USING (chunk_id))"""
 
 _LABELS_SQL = "[" + ", ".join(f"'{x}'" for x in PREDICTION_LABELS) + "]"
 _CLASSES_SQL = (
@@ -255,9 +235,6 @@ resolved AS (SELECT *, lower(class_) || ':' || {normal_sql('label')} AS entity_i
 
 
 BASE_SQL = ",".join([CHUNKS_SQL, SEEDS_SQL, PHRASES_SQL, SPANS_SQL])
-PHRASE_RESOLVED_SQL = ",".join(
-    [BASE_SQL, ALIASES_SQL, resolved_sql("SELECT *, 0 AS source_rank FROM phrase_spans")]
-)
 ALL_RESOLVED_SQL = ",".join(
     [
         BASE_SQL,

@@ -233,10 +233,10 @@ _TOP = """SELECT doc_id, entity_id, round(weight, 6) + 0.0 AS weight, rank FROM
 
 @query(
     "top_entities_per_document",
-    f"WITH {ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} " + _TOP.format("TRUE"),
+    f"WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} " + _TOP.format("TRUE"),
 )
 def top_entities_per_document(spark, sf_dir):
-    said = eg.mention_edges(cut(ti.phrase_mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
+    said = eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir))
     return rounded(eg.top_entities(said), "weight")
 
 
@@ -252,11 +252,11 @@ def about_edges(spark, sf_dir):
 
 @query(
     "co_occurrence_counts",
-    f"WITH {ti.PHRASE_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL} "
+    f"WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL} "
     "SELECT source, target, n_both, n_source, n_target, n_chunks FROM pmi",
 )
 def co_occurrence_counts(spark, sf_dir):
-    return eg.co_occurrence(cut(ti.phrase_mentions(spark, sf_dir))).drop("weight")
+    return eg.co_occurrence(cut(ti.mentions(spark, sf_dir))).drop("weight")
 
 
 @query(
