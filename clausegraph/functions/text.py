@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r\n\f"
+# Any Unicode blank, and the separators of ASCII.
+ANY_BLANK = r"[\s\x1C-\x1F]"
 
 # A sentence runs to a run of . ! ? followed by blank space, which it keeps.
 SENTENCE_PIECE = r"(?s).*?[.!?]+[ \t\r\n\f]+|.+"
@@ -52,7 +54,12 @@ def line_pieces(text: Column) -> Column:
 
 
 def running_totals(lengths: str) -> Column:
-    """Exclusive running totals of an INT array column, inside the row.
+    """Exclusive running totals of an INT array column, inside the row."""
+    return F.expr(running_totals_sql(lengths))
+
+
+def running_totals_sql(lengths: str) -> str:
+    """The same as SQL, for use on a lambda's variable.
 
     Folding in blocks keeps the array copies near n * sqrt(n) where a plain
     append fold would make n * n.
@@ -62,7 +69,7 @@ def running_totals(lengths: str) -> Column:
           named_struct('at', {first}, 'out', cast(array() as array<int>)),
           (q, x) -> named_struct('at', q.at + x, 'out', array_append(q.out, q.at)),
           q -> q.out)"""
-    return F.expr(f"""
+    return f"""
         if(size({lengths}) <= {_BLOCK},
            {fold.format(xs=lengths, first=0)},
            flatten(aggregate(
@@ -73,7 +80,7 @@ def running_totals(lengths: str) -> Column:
                'total', acc.total + aggregate(block, 0, (s, x) -> s + x),
                'done', array_append(acc.done, {fold.format(xs="block", first="acc.total")})),
              acc -> acc.done)))
-    """)
+    """
 
 
 def trimmed_end(text: Column) -> Column:
@@ -86,7 +93,7 @@ def trimmed_start(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return text.isNull() | ~text.rlike(r"[^\s]")
+    return text.isNull() | ~text.rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
 def is_acronym(word: Column) -> Column:
@@ -101,7 +108,7 @@ def normalise_surface(surface: Column) -> Column:
     s unless the last word is an acronym, the rest is short, or a vowel comes
     before the s.
     """
-    flat = F.trim(F.regexp_replace(surface, r"\s+", " "))
+    flat = F.trim(F.regexp_replace(surface, f"(?U){ANY_BLANK}+", " "))
     bare = F.regexp_replace(F.lower(flat), r"^the ", "")
     plural = (
         ~is_acronym(F.substring_index(flat, " ", -1))
@@ -123,6 +130,9 @@ def file_slug(name: Column) -> Column:
     return F.concat(F.lit("sub-"), F.when(slug != "", slug).otherwise(F.expr("uuid()")))
 
 
+# No letter, digit or underscore of any script before or after.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
 # The misread glyph forms and their repairs.  A wrapped form is
 # left alone when it is longer than 24 characters, which the look-ahead checks.
 GLYPH_REPAIRS = (
@@ -130,10 +140,10 @@ GLYPH_REPAIRS = (
         r"(?=\$[^$]{0,22}\$)\$\s*(?:\\mathrm\s*\{\s*)?A\s*l\s*\}?\s*(?:\^\s*\{[^}]*\}\s*)?([.,]?)\s*\$",
         "AI$1",
     ),
-    (r"\bGenAl\b", "GenAI"),
-    (r"\bAl-(?=[a-z])", "AI-"),
-    (r"\bAl\b", "AI"),
-    (r"\bFls\b", "FIs"),
+    (rf"{_BEFORE}GenAl{_AFTER}", "GenAI"),
+    (rf"{_BEFORE}Al-(?=[a-z])", "AI-"),
+    (rf"{_BEFORE}Al{_AFTER}", "AI"),
+    (rf"{_BEFORE}Fls{_AFTER}", "FIs"),
 )
 
 

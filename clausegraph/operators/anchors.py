@@ -10,6 +10,18 @@ from clausegraph.functions import text as tx
 _WS = "' \\t\\r\\n'"
 
 
+# Where a pattern occurs: the gaps between its matches and the matches, added up.  Each array is
+# bound to a name, so that it is made once for an anchor and dropped before the next.
+_PLACES = f"""
+  element_at(transform(
+    array(named_struct('h', regexp_extract_all(markdown, a._pattern, 0), 'g', split(markdown, a._pattern, -1))),
+    f -> element_at(transform(
+      array(transform(f.g, (g, i) -> length(g) + coalesce(length(get(f.h, i)), 0))),
+      steps -> element_at(transform(
+        array({tx.running_totals_sql("steps")}),
+        starts -> transform(f.h, (h, i) -> get(starts, i) + length(get(f.g, i)))), 1)), 1)), 1)"""
+
+
 def in_text_label(number: str) -> str:
     """SQL: the label printed before a clause: its deepest bracket or itself."""
     return f"coalesce(try_element_at(regexp_extract_all({number}, r'\\([^()]*\\)', 0), -1), {number})"
@@ -24,39 +36,38 @@ def anchor_hits(anchors: DataFrame, documents: DataFrame) -> DataFrame:
     phrase = F.regexp_replace(
         F.array_join(
             F.transform(
-                F.split(F.trim(F.regexp_replace("starts_with", r"\s+", " ")), " "),
+                F.split(F.trim(F.regexp_replace("starts_with", f"(?U){tx.ANY_BLANK}+", " ")), " "),
                 lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")),
             ),
-            r"\s+",
+            f"{tx.ANY_BLANK}+",
         ),
         r"^$", "",
     )
-    wanted = anchors.filter(~tx.is_blank(F.col("starts_with"))).withColumn("_pattern", phrase)
-    found = tx.once(
-        wanted.join(documents.select("document_id", "markdown"), "document_id", "left"),
-        _hits=F.expr("regexp_extract_all(markdown, _pattern, 0)"),
-        _gaps=F.expr("split(markdown, _pattern, -1)"),
+    phrase = F.concat(F.lit("(?U)"), phrase)
+    kept = anchors.columns
+    wanted = (
+        anchors.filter(~tx.is_blank(F.col("starts_with")))
+        .withColumn("_pattern", phrase)
+        .withColumn("_label", F.expr(in_text_label("clause_number")))
     )
-    sized = tx.once(
-        found,
-        _steps=F.expr("transform(_gaps, (g, i) -> length(g) + coalesce(length(get(_hits, i)), 0))"),
+    # a document's anchors go to its text together, so that the text is there once
+    by_document = wanted.groupBy("document_id").agg(
+        F.collect_list(F.struct(*[F.col(c) for c in kept if c != "document_id"], "_pattern", "_label")).alias("_anchors")
     )
-    placed = tx.once(sized, _starts=tx.running_totals("_steps"))
-    at = tx.once(
-        placed,
-        _at=F.expr("transform(_hits, (h, i) -> get(_starts, i) + length(get(_gaps, i)))"),
+    found = tx.once(
+        by_document.join(documents.select("document_id", "markdown"), "document_id", "left"),
+        _places=F.expr(f"coalesce(transform(_anchors, a -> {_PLACES}), array())"),
     )
     labelled = tx.once(
-        at.withColumn("_label", F.expr(in_text_label("clause_number"))),
+        found,
         _own=F.expr(
-            f"if(size(_at) > 1, filter(_at, p -> endswith(rtrim({_WS}, left(markdown, p)), _label)), "
-            "_at)"
+            f"""transform(_places, (at, k) -> if(size(at) > 1,
+                  filter(at, p -> endswith(rtrim({_WS}, left(markdown, p)), get(_anchors, k)._label)), at))"""
         ),
     )
-    kept = [c for c in anchors.columns]
-    return labelled.select(
-        *kept,
-        F.coalesce(F.size("_at"), F.lit(0)).alias("n_hits"),
+    return labelled.select("document_id", F.inline(F.arrays_zip("_anchors", "_places", "_own"))).select(
+        *[F.col("document_id") if c == "document_id" else F.col(f"_anchors.{c}") for c in kept],
+        F.coalesce(F.size("_places"), F.lit(0)).alias("n_hits"),
         F.size("_own").alias("n_labelled"),
         F.expr("if(size(_own) = 1, _own[0], cast(null as int))").alias("position"),
     )
@@ -87,23 +98,26 @@ def anchored_clauses(hits: DataFrame, documents: DataFrame) -> DataFrame:
         .withColumn("_next", F.lead("clause_number").over(following))
         .withColumn("_next", F.expr(f"if(_next is null, null, {in_text_label('_next')})"))
     )
-    raw = F.expr(
-        "if(_end is null, substring(markdown, position + 1), "
-        "substring(markdown, position + 1, greatest(_end - position, 0)))"
+    raw = (
+        "if(c._end is null, substring(markdown, c.position + 1), "
+        "substring(markdown, c.position + 1, greatest(c._end - c.position, 0)))"
+    )
+    trimmed = f"if(c._next is null, t, rtrim({_WS}, t))"
+    unlabelled = f"if(endswith(t, c._next), rtrim({_WS}, left(t, length(t) - length(c._next))), t)"
+    unmarked = (
+        r"if(c._next is not null and t rlike r'(?:^|\s)[SG]$', "
+        f"rtrim({_WS}, left(t, length(t) - 1)), t)"
     )
-    trimmed = F.expr(f"if(_next is null, _raw, rtrim({_WS}, _raw))")
-    unlabelled = F.expr(
-        f"if(endswith(_text, _next), rtrim({_WS}, left(_text, length(_text) - length(_next))), _text)"
+    step = lambda previous, sql: f"element_at(transform(array({previous}), t -> {sql}), 1)"
+    text = step(step(step(raw, trimmed), f"coalesce({unlabelled}, t)"), unmarked)
+    own = ["seq", "clause_number", "heading", "parent"]
+    by_document = placed.groupBy("document_id").agg(
+        F.collect_list(F.struct(*own, "position", "_end", "_next")).alias("_clauses")
     )
-    unmarked = F.expr(
-        r"if(_next is not null and _text rlike r'(?:^|\s)[SG]$', "
-        f"rtrim({_WS}, left(_text, length(_text) - 1)), _text)"
+    cut = tx.once(
+        by_document.join(documents.select("document_id", "markdown"), "document_id"),
+        _texts=F.expr(f"transform(_clauses, c -> {text})"),
     )
-    return (
-        placed.join(documents.select("document_id", "markdown"), "document_id")
-        .withColumn("_raw", raw)
-        .withColumn("_text", trimmed)
-        .withColumn("_text", F.coalesce(unlabelled, "_text"))
-        .withColumn("text", unmarked)
-        .select("document_id", "seq", "clause_number", "heading", "parent", "text")
+    return cut.select("document_id", F.inline(F.arrays_zip("_clauses", "_texts"))).select(
+        "document_id", *[F.col(f"_clauses.{c}") for c in own], F.col("_texts").alias("text")
     )

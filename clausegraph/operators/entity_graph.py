@@ -10,8 +10,9 @@ from clausegraph.plans.skew import pairs_of_sets
 
 
 def term_counts(mentions: DataFrame) -> DataFrame:
-    """(doc_id, entity_id, tf)."""
-    return mentions.groupBy("doc_id", "entity_id").agg(F.count("*").alias("tf"))
+    """(doc_id, entity_id, tf, seen): `seen` orders the entities of a document by first mention."""
+    seen = F.min("seen") if "seen" in mentions.columns else F.lit(0)
+    return mentions.groupBy("doc_id", "entity_id").agg(F.count("*").alias("tf"), seen.alias("seen"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def mention_edges(
     mentions: DataFrame, corpus: DataFrame, at_least: int = MENTIONS_MIN
 ) -> DataFrame:
-    """`mentions` edges (doc_id, entity_id, weight = tf * ln(N / df)).
+    """`mentions` edges (doc_id, entity_id, tf, weight = tf * ln(N / df), seen).
 
     N counts the documents of the manifest, also those without a mention.  df
     does not depend on the mention filter, so rare entities go first.
@@ -41,15 +42,16 @@ def mention_edges(
         "entity_id",
         "tf",
         (F.col("tf") * F.ln(n_docs / F.col("df"))).alias("weight"),
+        "seen",
     )
 
 
 def top_entities(edges: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The k heaviest entities of each document, ties by entity id.
+    """The k heaviest entities of each document, ties by first mention.
 
     Spark limits each group before the shuffle as well as after it.
     """
-    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "entity_id")
+    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "seen", "entity_id")
     return (
         edges.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)

@@ -21,6 +21,12 @@ def require_empty(violations: DataFrame, rule: str) -> None:
         raise RuleBroken(f"{rule}: {example[0].asDict()}")
 
 
+def _beside_source(rows: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """(key, _rows, _source): all rows of a document beside its text, which is there once."""
+    others = [F.col(c) for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_rows")).join(source, key, "left")
+
+
 def slices_not_verbatim(
     rows: DataFrame, documents: DataFrame, surface: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -29,19 +35,22 @@ def slices_not_verbatim(
     Works for chunks (surface = text) and spans (surface = surface).
     """
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_source"))
-    slice_ = F.expr("substring(_source, char_start + 1, char_end - char_start)")
+    slice_ = "substring(_source, r.char_start + 1, r.char_end - r.char_start)"
+    bad = F.expr(f"filter(_rows, r -> not {slice_} <=> r.`{surface}`)")
     return (
-        rows.join(source, "doc_id", "left")
-        .filter(~slice_.eqNullSafe(F.col(surface)))
-        .drop("_source")
+        tx.once(_beside_source(rows, source, "doc_id"), _bad=bad)
+        .select("doc_id", F.inline("_bad"))
+        .select(*rows.columns)
     )
 
 
 def clauses_not_verbatim(clauses: DataFrame, documents: DataFrame) -> DataFrame:
-    source = documents.select("document_id", "markdown")
+    source = documents.select("document_id", F.col("markdown").alias("_source"))
+    rows = clauses.select("document_id", "clause_number", "text")
+    bad = F.expr("filter(_rows, r -> not coalesce(contains(_source, r.text), false))")
     return (
-        clauses.join(source, "document_id", "left")
-        .filter(~F.coalesce(F.contains("markdown", "text"), F.lit(False)))
+        tx.once(_beside_source(rows, source, "document_id"), _bad=bad)
+        .select("document_id", F.inline("_bad"))
         .select("document_id", "clause_number")
     )
 

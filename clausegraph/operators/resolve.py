@@ -7,7 +7,7 @@ third of all documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
@@ -45,8 +45,16 @@ def resolved_spans(spans: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
+def first_seen(resolved: DataFrame) -> Column:
+    """Place of a span in (seeds before predictions, offset, seed) order within its document."""
+    rank = F.col("source_rank") if "source_rank" in resolved.columns else F.lit(0)
+    return rank.cast("long") * (1 << 55) + F.col("char_start").cast("long") * (1 << 20) + F.coalesce("seed_seq", F.lit(0))
+
+
 def mentions(resolved: DataFrame) -> DataFrame:
-    return resolved.select("entity_id", "doc_id", "chunk_id", "char_start", "char_end")
+    return resolved.select(
+        "entity_id", "doc_id", "chunk_id", "char_start", "char_end", first_seen(resolved).alias("seen")
+    )
 
 
 def entities(resolved: DataFrame) -> DataFrame:

@@ -246,3 +246,21 @@ def test_centrality_against_brute_force(spark):
     assert set(rows) == {"a", "alone"}
     assert (rows["alone"].degree, rows["alone"].pagerank) == (0.0, 0.0)
     assert rows["a"].degree == 4.0
+
+
+def test_unicode_blanks_and_word_borders(spark):
+    from clausegraph.functions import text as tx
+
+    rows = spark.createDataFrame([("the\xa0\xa0boards ",), ("\xa0 \x1c",), ("a　b",), ("Al\xb2 Al GenAl, éAl Al-ready",)], "s string")
+    got = rows.select(tx.normalise_surface(F.col("s")), tx.is_blank(F.col("s")), tx.repair_glyphs(F.col("s"), F.lit(True))).collect()
+    assert [r[0] for r in got][0] == "board" and [r[0] for r in got][2] == "a b"
+    assert [r[1] for r in got] == [False, True, False, False]
+    assert got[3][2] == "Al\xb2 AI GenAI, éAl AI-ready"
+
+
+def test_equal_weights_keep_the_order_of_first_mention(spark):
+    rows = [("d", "topic:b", 1), ("d", "topic:a", 2), ("d", "topic:c", 0), ("e", "topic:a", 5), ("e", "topic:b", 6), ("e", "topic:c", 7)]
+    mentions = spark.createDataFrame(rows * 2, "doc_id string, entity_id string, seen bigint").withColumn("chunk_id", F.lit("x"))
+    corpus = spark.createDataFrame([("d",), ("e",), ("f",)], "doc_id string")
+    top = eg.top_entities(eg.mention_edges(mentions, corpus)).orderBy("doc_id", "rank").collect()
+    assert [r.entity_id for r in top] == ["topic:c", "topic:b", "topic:a", "topic:a", "topic:b", "topic:c"]

@@ -212,7 +212,7 @@ def most_central_entities(spark, sf_dir):
 @query(
     "graph_size",
     f"""WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL}, {ti.PMI_SQL},
-about AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, entity_id) AS rank
+about AS (SELECT row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seen, entity_id) AS rank
           FROM said WHERE entity_id LIKE 'topic:%')
 SELECT (SELECT count(*) FROM documents)
      + (SELECT count(*) FROM df WHERE mention_count >= 2) AS n_nodes,

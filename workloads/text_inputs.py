@@ -207,8 +207,12 @@ scored AS (
   FROM first_words WHERE w <> '' AND length(w) % 8 < 7)"""
 
 
+# Every Unicode blank.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def normal_sql(x: str) -> str:
-    flat = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    flat = f"trim(regexp_replace({x}, '{_BLANKS}+', ' ', 'g'))"
     bare = f"regexp_replace(lower({flat}), '^the ', '')"
     return (
         f"CASE WHEN NOT regexp_matches(list_last(string_split({flat}, ' ')), '^\\p{{Lu}}{{2,}}s?$')"
@@ -248,11 +252,13 @@ ALL_RESOLVED_SQL = ",".join(
 )
 
 TERM_COUNTS_SQL = """
-tf AS (SELECT doc_id, entity_id, count(*) AS tf FROM resolved GROUP BY ALL),
+tf AS (SELECT doc_id, entity_id, count(*) AS tf,
+         min(source_rank::BIGINT * (1::BIGINT << 55) + char_start::BIGINT * (1 << 20) + coalesce(seed_seq, 0)) AS seen
+       FROM resolved GROUP BY ALL),
 df AS (SELECT entity_id, count(*) AS df, sum(tf) AS mention_count FROM tf GROUP BY entity_id),
 said AS (
   SELECT tf.doc_id, tf.entity_id, tf.tf,
-         tf.tf * ln((SELECT count(*) FROM documents) / df.df) AS weight
+         tf.tf * ln((SELECT count(*) FROM documents) / df.df) AS weight, tf.seen
   FROM tf JOIN df USING (entity_id) WHERE df.mention_count >= 2)"""
 
 PMI_SQL = """

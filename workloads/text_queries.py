@@ -183,10 +183,10 @@ def mentions(spark, sf_dir):
 
 @query(
     "term_counts",
-    f"WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} SELECT * FROM tf",
+    f"WITH {ti.ALL_RESOLVED_SQL}, {ti.TERM_COUNTS_SQL} SELECT doc_id, entity_id, tf FROM tf",
 )
 def term_counts(spark, sf_dir):
-    return eg.term_counts(ti.mentions(spark, sf_dir))
+    return eg.term_counts(ti.mentions(spark, sf_dir)).drop("seen")
 
 
 @query(
@@ -212,7 +212,7 @@ def rounded(df, *names, places=6):
 )
 def tfidf_edges(spark, sf_dir):
     return rounded(
-        eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir)), "weight"
+        eg.mention_edges(cut(ti.mentions(spark, sf_dir)), ti.corpus(spark, sf_dir)).drop("seen"), "weight"
     )
 
 
@@ -227,7 +227,7 @@ def minimum_mentions(spark, sf_dir):
 
 
 _TOP = """SELECT doc_id, entity_id, round(weight, 6) + 0.0 AS weight, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, entity_id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seen, entity_id) AS rank
   FROM said WHERE {0}) WHERE rank <= 10"""
 
 
@@ -290,7 +290,7 @@ edges AS (
   SELECT doc_id AS source, entity_id AS target, 'mentions' AS edge_type, weight FROM said
   UNION ALL
   SELECT doc_id, entity_id, 'about', weight FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, entity_id) AS rank
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, seen, entity_id) AS rank
     FROM said WHERE entity_id LIKE 'topic:%') WHERE rank <= 10
   UNION ALL SELECT source, target, 'co-occurs', weight FROM pmi)
 SELECT source, target, edge_type, round(weight, 6) + 0.0 AS weight FROM edges""",
