@@ -314,12 +314,14 @@ def index_with_references(spark, sf_dir):
 
 @query(
     "clauses_not_verbatim",
-    "SELECT 'd' || doc_id AS document_id, text AS clause_number FROM documents WHERE FALSE",
+    f"WITH RECURSIVE {ci.CLAUSES_CTE} SELECT document_id, clause_number FROM clauses WHERE clause_seq % 7 = 3",
 )
 def clauses_not_verbatim(spark, sf_dir):
-    """Must be empty: clause texts that are not in their document."""
+    """Clause texts that are not in their document: here those that a fault was planted in."""
     docs = ci.policies(spark, sf_dir)
-    return ql.clauses_not_verbatim(sg.segmented_clauses(docs), docs)
+    found = sg.segmented_clauses(docs)
+    wrong = F.when(F.col("clause_seq") % 7 == 3, F.concat("text", F.lit(" ~"))).otherwise(F.col("text"))
+    return ql.clauses_not_verbatim(found.withColumn("text", wrong), docs)
 
 
 @query(
