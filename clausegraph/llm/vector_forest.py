@@ -35,6 +35,8 @@ SPILL = 0.05
 LEAF, LARGEST, BLOCK = 400, 1024, 1024
 SAMPLE, CELL_SAMPLE = 16_384, 4096
 DEPTH = 9
+#: Share of linked pairs from which a cell is compared as a whole.
+DENSE = 0.2
 ROUNDS = 6
 
 _GOLD = 0x9E3779B97F4A7C15
@@ -49,11 +51,19 @@ def _direction(cell: int, node: int, dim: int) -> np.ndarray:
     return np.random.default_rng([cell % 2**63, node]).standard_normal(dim)
 
 
+def _dense(x: np.ndarray) -> bool:
+    """Whether many of a cell's pairs are links, so that a split would part them."""
+    some = x[:: max(len(x) // 128, 1)]
+    linked = (some @ some.T >= NEAR).sum() - len(some)
+    return linked >= DENSE * len(some) * (len(some) - 1)
+
+
 def fit_cell(cell: int, sample: np.ndarray, rows: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) thresholds of the cell's splits in heap order; NaN where there is none.
 
     `sample` stands for `rows` vectors; splitting goes on while a child stands
-    for more than `leaf` and gets smaller by it.
+    for more than `leaf`, gets smaller by it, and isn't mostly near-duplicates
+    of each other.
     """
     low, high = np.full(2**DEPTH, np.nan), np.full(2**DEPTH, np.nan)
     share = rows / max(len(sample), 1)
@@ -62,6 +72,8 @@ def fit_cell(cell: int, sample: np.ndarray, rows: int, leaf: int = LEAF) -> tupl
         node, members = open_.pop()
         if node >= 2**DEPTH or len(members) * share <= leaf or len(members) < 16:
             continue
+        if _dense(sample[members]):
+            continue
         at = sample[members] @ _direction(cell, node, sample.shape[1])
         lo, hi = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
         left, right = members[at <= hi], members[at >= lo]
