@@ -17,7 +17,7 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to shared storage")
             folder = tempfile.mkdtemp(prefix="clausegraph-checkpoint-")
         context.setCheckpointDir(folder)

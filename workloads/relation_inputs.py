@@ -86,7 +86,7 @@ SELECT concat('r', CAST(o_orderkey AS STRING)) AS id, o_orderkey AS record_seq,
             WHEN 3 THEN 'Duplicate' ELSE 'Partial' END AS verdict,
        CASE WHEN o_orderkey % 4 > 0 THEN 'High' END AS confidence,
        CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS rationale,
-       CASE WHEN o_orderkey % 10 > 0 THEN {_clause('o_orderkey % 3000')} END AS clause_number,
+       CASE WHEN o_orderkey % 10 > 0 THEN {_clause('o_orderkey % (SELECT count(*) FROM {part})')} END AS clause_number,
        CASE o_orderkey % 6 WHEN 0 THEN 'pending_extraction' WHEN 1 THEN CAST(NULL AS STRING)
             ELSE 'verified' END AS verification,
        CASE WHEN o_orderkey % 8 = 0 THEN 'for' END AS stance,

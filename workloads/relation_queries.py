@@ -126,18 +126,17 @@ def repaired_citations(spark, sf_dir):
     f"WITH {ri.cte(cited=ri.CITED)} SELECT DISTINCT a.candidate_id FROM cited a JOIN cited b "
     "USING (candidate_id) WHERE a.side = 'source' AND b.side = 'target' "
     "AND a.raw_number = (SELECT max(raw_number) FROM cited WHERE side = 'source') "
-    "AND b.raw_number IN (SELECT raw_number FROM cited WHERE side = 'target')",
+    "AND b.raw_number = (SELECT max(b.raw_number) FROM cited a JOIN cited b USING (candidate_id) "
+    "WHERE a.side = 'source' AND b.side = 'target' "
+    "AND a.raw_number = (SELECT max(raw_number) FROM cited WHERE side = 'source'))",
 )
 def cited_pair(spark, sf_dir):
-    """Candidates citing the last source key together with any target key."""
-    top = (
-        ri.derived(spark, sf_dir, ri.CITED)
-        .filter("side = 'source'")
-        .agg(F.max("raw_number"))
-        .scalar()
-    )
-    rows = ri.candidates(spark, sf_dir).filter(F.size("target_clauses") > 0)
-    return rows.filter(F.array_contains("source_clauses", top)).select("candidate_id")
+    """Candidates citing the last source key together with the last target key cited beside it."""
+    cited = ri.derived(spark, sf_dir, ri.CITED)
+    source = cited.filter("side = 'source'").agg(F.max("raw_number")).first()[0]
+    beside = cited.filter((F.col("side") == "source") & (F.col("raw_number") == source)).select("candidate_id").distinct()
+    target = cited.filter("side = 'target'").join(beside, "candidate_id").agg(F.max("raw_number")).first()[0]
+    return ct.cites_pair(ri.candidates(spark, sf_dir), source, target).select("candidate_id")
 
 
 _GUARD = f"""{ri.cte(idx=ri.PART_CLAUSES, con=ri.CONNECTIONS)}"""
@@ -372,11 +371,16 @@ def paragraph_backlog(spark, sf_dir):
     return rm.backlog(rm.paragraphs(par, "doc"), records, nodes).select("number")
 
 
+# Paragraphs of interest: half of the numbers are of no paragraph.
+REQUESTS = (
+    f"SELECT DISTINCT {ri._paragraph('o_orderkey % (2 * (SELECT count(*) FROM {customer}))')} AS number "
+    "FROM {orders}"
+)
+
+
 @query(
     "requested_paragraphs",
-    f"""WITH {_READ}, req AS (
-  SELECT DISTINCT CAST(o_orderkey % 400 AS STRING) || '.' || CAST(o_custkey % 60 AS STRING)
-    AS number FROM orders)
+    f"""WITH {_READ}, {ri.cte(req=REQUESTS)}
 SELECT r.number, coalesce(i.title, '') AS title, coalesce(i.state, 'not_analysed') AS state,
   coalesce(i.no_matching_source, FALSE) AS no_matching_source,
   coalesce(i.connection_count, 0) AS connection_count
@@ -384,18 +388,14 @@ FROM req r LEFT JOIN index_full i USING (number)""",
 )
 def requested_paragraphs(spark, sf_dir):
     par, records, nodes, _ = _read_inputs(spark, sf_dir)
-    requests = ri.derived(
-        spark, sf_dir,
-        "SELECT DISTINCT concat(CAST(o_orderkey % 400 AS STRING), '.', "
-        "CAST(o_custkey % 60 AS STRING)) AS number FROM {orders}",
-    )
+    requests = ri.derived(spark, sf_dir, REQUESTS)
     heads = rm.paragraph_index(rm.paragraphs(par, "doc"), records, nodes)
     return rm.requested_paragraphs(requests, heads)
 
 
 # Sources added by hand, one per web page.
 ADDITIONS = f"""
-SELECT {ri._paragraph('page_id % 3000')} AS paragraph,
+SELECT {ri._paragraph('page_id % (SELECT count(*) FROM {customer})')} AS paragraph,
        CASE page_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN concat(' ', url, ' ')
             ELSE concat('http://', CAST(page_id % 5 AS STRING)) END AS title,
        CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'industry' END AS source_type,
@@ -428,6 +428,21 @@ def overlaid_connections(spark, sf_dir):
     )
 
 
+@query(
+    "supplied_connections",
+    f"""WITH {_ADDED} SELECT DISTINCT id FROM rendered WHERE status = 'could_not_retrieve'
+UNION SELECT paragraph || '::added:' || title FROM added""",
+)
+def supplied_connections(spark, sf_dir):
+    """Blocked connections that were supplied by hand: here all of them, asked for twice."""
+    _, records, nodes, clauses = _read_inputs(spark, sf_dir)
+    rows = rm.overlaid_connections(
+        rm.rendered_connections(records, nodes, clauses), ri.derived(spark, sf_dir, ADDITIONS)
+    )
+    blocked = rows.filter("status = 'could_not_retrieve'").select("id")
+    return rm.supplied(blocked.union(blocked))
+
+
 @query(
     "overlaid_index",
     f"""WITH {_ADDED}, n AS (SELECT paragraph AS number, count(*) AS n FROM added GROUP BY ALL)
