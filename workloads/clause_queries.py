@@ -69,6 +69,8 @@ from clausegraph.operators import citations as ct  # noqa: E402
 from clausegraph.operators import document_graph as dg  # noqa: E402
 from clausegraph.operators import quality as ql  # noqa: E402
 from clausegraph.operators import versions as vs  # noqa: E402
+from clausegraph.plans import build as bd  # noqa: E402
+from clausegraph.plans.lineage import cut  # noqa: E402
 
 _MANIFEST = """
 man AS (SELECT 'd' || doc_id AS document_id, source AS policy_id, doc_id AS version_seq FROM documents),
@@ -312,6 +314,31 @@ def index_with_references(spark, sf_dir):
     return vs.with_replacements(primary, later).select("clause_number", "source")
 
 
+@query(
+    "built_citations",
+    f"""WITH RECURSIVE {_MERGE},
+ref AS (SELECT DISTINCT 'Ref A' || (item_id // 3) AS clause_number FROM benchmark WHERE item_id % 3 < 2
+        UNION SELECT 'Ref Z' || item_id FROM benchmark WHERE item_id % 3 = 1),
+idx AS (SELECT clause_number FROM claims WHERE winner IS NOT NULL UNION SELECT clause_number FROM ref)
+SELECT DISTINCT document_id || ':' || clause_seq AS candidate_id,
+  clause_number IN (SELECT clause_number FROM idx)
+    AND 'Ref A' || (clause_seq % 20) IN (SELECT clause_number FROM idx) AS supported
+FROM clauses""",
+)
+def built_citations(spark, sf_dir):
+    """Documents to clauses to index, and every clause citing itself and a reference."""
+    versions = cut(bd.clause_versions(ci.policies(spark, sf_dir)))
+    index = bd.clause_index(
+        versions, ci.manifest(spark, sf_dir), _references(spark, sf_dir), _reference_names(spark)
+    )
+    candidates = versions.select(
+        F.concat_ws(":", "document_id", "clause_seq").alias("candidate_id"),
+        F.array("clause_number").alias("source_clauses"),
+        F.array(F.concat(F.lit("Ref A"), F.col("clause_seq") % 20)).alias("target_clauses"),
+    )
+    return bd.checked_candidates(candidates, index)
+
+
 @query(
     "clauses_not_verbatim",
     f"WITH RECURSIVE {ci.CLAUSES_CTE} SELECT document_id, clause_number FROM clauses WHERE clause_seq % 7 = 3",
