@@ -178,7 +178,7 @@ def entity_documents(spark, sf_dir):
     "FROM resolved",
 )
 def mentions(spark, sf_dir):
-    return ti.mentions(spark, sf_dir)
+    return ti.mentions(spark, sf_dir).drop("seen")
 
 
 @query(
