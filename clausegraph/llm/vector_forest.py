@@ -2,15 +2,17 @@
 
 A tree cell is split by the projection on a random direction: vectors below
 the upper of two quantiles around the median go left, those above the lower one
-go right, so those between go both ways (spill).  Splits are fitted on bounded
+go right, so those between go both ways (spill).  The spill follows the cell:
+it is the narrowest that keeps the links among the cell's sampled vectors
+together, and where none does, the cell is a leaf.  Splits are fitted on bounded
 samples, first of all vectors, then, in rounds, of each cell that is still too
 large; every vector is routed through every tree.  Inside a leaf all pairs are
 compared exactly, in double precision, by matrix products.
 
 A pair that shares several leaves is counted in the smallest of them only, so
 counts of links add up without listing pairs; components come from a star per
-leaf.  A leaf that no direction can split further (many vectors close together)
-is compared in pairs of blocks of bounded size, so nothing is capped.
+leaf.  A leaf that no direction can split without parting links (many vectors
+close together) is compared in pairs of blocks of bounded size, so nothing is capped.
 
 Equal vectors are one node with a weight.
 """
@@ -31,7 +33,14 @@ from clausegraph.plans.lineage import cut
 
 NEAR = 0.9
 TREES = 10
-SPILL = 0.05
+#: Shares of a cell on either side of its median that go both ways, tried in turn.
+SPILLS = (0.05, 0.1, 0.15)
+#: Share of the links at a linked vector that a split must keep, on average over these.
+KEEP = 0.95
+#: Linked vectors with all links kept that are added to those seen, so that few say little.
+PRIOR = 10
+#: Linked pairs of a sample that are looked at.
+PAIRS = 1 << 21
 LEAF, LARGEST, BLOCK = 400, 1024, 1024
 SAMPLE, CELL_SAMPLE = 16_384, 4096
 DEPTH = 9
@@ -58,29 +67,57 @@ def _dense(x: np.ndarray) -> bool:
     return linked >= DENSE * len(some) * (len(some) - 1)
 
 
-def fit_cell(cell: int, sample: np.ndarray, rows: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(sample: np.ndarray, near: float, most: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of a sample; where there are over `most`, those of its first vectors."""
+    x = sample.astype(np.float32)
+    first, second, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for at in range(0, len(x), 256):
+        a, b = np.nonzero(x[at : at + 256] @ x[at:].T >= near)
+        later = a < b
+        first.append(at + a[later])
+        second.append(at + b[later])
+        n += len(first[-1])
+        if n > most:
+            break
+    return np.concatenate(first), np.concatenate(second)
+
+
+def _kept(kept: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> bool:
+    """Whether enough of the linked pairs (a, b) are kept; each linked vector counts alike, however many links it has."""
+    degree = np.bincount(a, minlength=size) + np.bincount(b, minlength=size)
+    parted = (1 / degree[a[~kept]] + 1 / degree[b[~kept]]).sum()
+    return parted <= (1 - KEEP) * ((degree > 0).sum() + PRIOR)
+
+
+def fit_cell(cell: int, sample: np.ndarray, rows: int, leaf: int = LEAF, near: float = NEAR, pairs: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) thresholds of the cell's splits in heap order; NaN where there is none.
 
     `sample` stands for `rows` vectors; splitting goes on while a child stands
-    for more than `leaf`, gets smaller by it, and isn't mostly near-duplicates
-    of each other.
+    for more than `leaf`, gets smaller by it, isn't mostly near-duplicates
+    of each other, and linked vectors stay together.  `pairs` are the sample's
+    linked pairs, if they are known already.
     """
     low, high = np.full(2**DEPTH, np.nan), np.full(2**DEPTH, np.nan)
     share = rows / max(len(sample), 1)
-    open_ = [(1, np.arange(len(sample)))]
+    open_ = [(1, np.arange(len(sample)), *(linked_pairs(sample, near) if pairs is None else pairs))]
     while open_:
-        node, members = open_.pop()
+        node, members, a, b = open_.pop()
         if node >= 2**DEPTH or len(members) * share <= leaf or len(members) < 16:
             continue
         if _dense(sample[members]):
             continue
-        at = sample[members] @ _direction(cell, node, sample.shape[1])
-        lo, hi = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
-        left, right = members[at <= hi], members[at >= lo]
-        if max(len(left), len(right)) > 0.9 * len(members):
-            continue
-        low[node], high[node] = lo, hi
-        open_ += [(2 * node, left), (2 * node + 1, right)]
+        at = np.full(len(sample), np.nan)
+        at[members] = sample[members] @ _direction(cell, node, sample.shape[1])
+        for spill in SPILLS:
+            lo, hi = np.quantile(at[members], [0.5 - spill, 0.5 + spill])
+            left, right = members[at[members] <= hi], members[at[members] >= lo]
+            if max(len(left), len(right)) > 0.9 * len(members):
+                break
+            in_left, in_right = (at[a] <= hi) & (at[b] <= hi), (at[a] >= lo) & (at[b] >= lo)
+            if _kept(in_left | in_right, a, b, len(sample)):
+                low[node], high[node] = lo, hi
+                open_ += [(2 * node, left, a[in_left], b[in_left]), (2 * node + 1, right, a[in_right], b[in_right])]
+                break
     return low, high
 
 
@@ -136,11 +173,14 @@ def _router(trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def _refit(pdf: pd.DataFrame) -> pd.DataFrame:
-    sample = _unit(np.stack(pdf["vector"].iloc[: 2 * CELL_SAMPLE].to_numpy()))
-    cell = int(pdf["cell"].iloc[0])
-    low, high = fit_cell(cell, sample, int(pdf["n"].iloc[0]))
-    return pd.DataFrame({"cell": [cell], "low": [low], "high": [high]})
+def _refit(near: float):
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        sample = _unit(np.stack(pdf["vector"].iloc[: 2 * CELL_SAMPLE].to_numpy()))
+        cell = int(pdf["cell"].iloc[0])
+        low, high = fit_cell(cell, sample, int(pdf["n"].iloc[0]), near=near)
+        return pd.DataFrame({"cell": [cell], "low": [low], "high": [high]})
+
+    return fit
 
 
 def _reroute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +195,7 @@ def _reroute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "cell", "stuck"])
 
 
-def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST) -> DataFrame:
+def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST, near: float = NEAR) -> DataFrame:
     """(node, cell): the leaves of every vector of (node, vector) in all trees."""
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     counts = {r["d"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1000).collect()}
@@ -165,9 +205,10 @@ def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST) -> Da
     model = {}
     for d, n in counts.items():
         mine = _unit(np.array(by_size[d], np.float64)) if d in by_size else np.zeros((0, d))
+        pairs = linked_pairs(mine, near)
         for t in range(trees):
             root = int(_cell(t, np.array([d]))[0])
-            model[t, d] = (root, *fit_cell(root, mine, n))
+            model[t, d] = (root, *fit_cell(root, mine, n, near=near, pairs=pairs))
     members = cut(vectors.mapInArrow(_router(model), "node bigint, cell bigint"))
     settled = None
     for _ in range(ROUNDS):
@@ -177,7 +218,7 @@ def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST) -> Da
             break
         wide = members.join(over, "cell").join(vectors, "node")
         part = wide.filter(F.pmod(F.xxhash64("node", "cell"), F.col("n")) < CELL_SAMPLE)
-        fitted = part.select("cell", "n", "vector").groupBy("cell").applyInPandas(_refit, "cell bigint, low array<double>, high array<double>")
+        fitted = part.select("cell", "n", "vector").groupBy("cell").applyInPandas(_refit(near), "cell bigint, low array<double>, high array<double>")
         moved = cut(
             wide.join(cut(fitted), "cell")
             .select("node", "cell", "vector", "low", "high")
@@ -273,7 +314,7 @@ def near_vectors(embeddings: DataFrame, near: float = NEAR, trees: int = TREES,
     nodes = cut(
         ids.filter("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"))
     )
-    members = cut(leaves(nodes.select("node", "vector"), trees, largest).distinct())
+    members = cut(leaves(nodes.select("node", "vector"), trees, largest, near).distinct())
     listed = members.groupBy("node").agg(F.sort_array(F.collect_list("cell")).alias("leaves"))
     sizes = members.groupBy("cell").agg(F.count("*").alias("_n")).filter("_n > 1")
     parts = F.ceil(F.col("_n") / block)

@@ -192,6 +192,20 @@ def test_forest_recall_and_empty_table(spark):
     assert vector_forest.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_forest_keeps_the_links_of_a_loose_cluster(spark):
+    rng = np.random.default_rng(1)
+    x = 0.05 * rng.standard_normal((12_000, 64))
+    x[:, 0] += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    count = np.concatenate([(x[i : i + 1000] @ x.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(x), 1000)])
+    assert 0.03 < count.mean() / len(x) < 0.07
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = vector_forest.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), trees=2).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(count.tolist()))
+    linked = {r.vec_id for r in got if r.n_links}
+    assert {r.component_id for r in got if r.vec_id in linked} == {min(linked)}
+
+
 @pytest.mark.parametrize("shards", [1, 3, 16])
 def test_sharding_keeps_the_law_and_the_groups(spark, shards):
     rng = random.Random(shards)
