@@ -11,8 +11,10 @@ line feed.  A backslash goes before each backslash and between `<` and `|`, in
 roles also before a line feed; so no control string stands inside a text, and
 dropping the backslashes gives it back.
 
-Windows are bounded by the budget and the longest turn, however long their
-conversation; running sums are range partitioned by conversation and turn.
+Windows are bounded by the budget, the system turn and the longest turn, however
+long their conversation: the last turn of a stride may overhang it.  Asked to stay
+`within` the budget, strides are what the system turn and the history leave of
+it, and a turn that overhangs its stride is a window of its own.  Running sums are range partitioned by conversation and turn.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = False) -> DataFrame:
     """(conv_id, window, formatted, loss, n_context) of all windows.
 
     `loss` are the code point ranges [first, last) of the new assistant texts,
@@ -50,6 +52,10 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     repeated from earlier windows.  Turns are ordered by turn (null first),
     then role and text; a null role or text is empty; rows with a null conv_id
     make up one conversation; repeated rows are turns of their own.
+
+    With `within`, the turns of a window have no more than `budget` tokens,
+    the system turn and the history included, unless its only new turn is
+    longer than the room that these leave.
     """
     if not 0 <= history <= budget // 2:
         raise ValueError("the history must fit into half of the budget")
@@ -60,7 +66,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     ).withColumn("tokens", F.lit(OVERHEAD) + F.regexp_count("text", F.lit(TOKEN)))
     summed = running_totals(base, ["key", "turn", "role", "text"], {"before": F.col("tokens"), "row": F.lit(1)})
     whole = summed.groupBy("key").agg(
-        F.min("before").alias("_from"), F.min("row").alias("_row"), F.max(F.col("before") + F.col("tokens")).alias("_to")
+        F.min("before").alias("_from"), F.min("row").alias("_row"), F.max(F.col("before") + F.col("tokens")).alias("_to"),
     )
     placed = summed.join(whole, "key").select(
         "key", "conv_id", "role", "text",
@@ -69,16 +75,28 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         (F.col("before") - F.col("_from") + F.col("tokens")).alias("last"),
         (F.col("_to") - F.col("_from")).alias("total"),
     )
-    placed = placed.withColumn("window", F.floor(F.col("first") / stride))
+    if within:
+        heads = placed.filter("place = 0").select("key", F.when(F.col("role") == "system", F.col("last")).otherwise(0).alias("system"))
+        placed = placed.join(heads, "key")
+        # the system turn stands before the first stride
+        room = F.greatest(F.lit(stride) - F.col("system"), F.lit(1))
+        begins, ends = (F.greatest(F.col(c) - F.col("system"), F.lit(0)) for c in ("first", "last"))
+        overhangs = (ends > (F.floor(begins / room) + 1) * room).cast("int")
+        placed = placed.withColumn("window", 2 * F.floor(begins / room) + overhangs)
+    else:
+        placed = placed.withColumn("window", F.floor(F.col("first") / stride))
     windows = placed.groupBy("key", "window").agg(F.max("last").alias("closes"))
     is_system = (F.col("place") == 0) & (F.col("role") == "system")
     columns = ["key", "conv_id", "role", "text", "place"]
     new = placed.select(*columns, "window", F.lit(False).alias("repeated"))
-    recent = (
-        placed.join(windows, ["key", "window"])
-        .filter((F.col("closes") < F.col("total")) & (F.col("closes") - F.col("first") <= history) & ~is_system)
-        .select(*columns, F.floor(F.col("closes") / stride).alias("window"), F.lit(True).alias("repeated"))
-    )
+    if within:
+        recent = _before_windows(placed.filter(~is_system), placed, history).select(*columns, "window", F.lit(True).alias("repeated"))
+    else:
+        recent = (
+            placed.join(windows, ["key", "window"])
+            .filter((F.col("closes") < F.col("total")) & (F.col("closes") - F.col("first") <= history) & ~is_system)
+            .select(*columns, F.floor(F.col("closes") / stride).alias("window"), F.lit(True).alias("repeated"))
+        )
     system = (
         placed.filter(is_system)
         .drop("window")
@@ -127,6 +145,18 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
 
 
+def _before_windows(turns: DataFrame, placed: DataFrame, history: int) -> DataFrame:
+    """The turns that lie within `history` tokens before a window opens, with its number as `window`.
+
+    Both sides meet in buckets of `history` tokens, so a turn meets the windows near it only.
+    """
+    size = max(history, 1)
+    opens = placed.groupBy("key", "window").agg(F.min("first").alias("opens")).withColumn("_bucket", F.floor(F.col("opens") / size))
+    bucket = F.floor(F.col("first") / size)
+    near = turns.drop("window").withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
+    return near.join(opens, ["key", "_bucket"]).filter((F.col("first") < F.col("opens")) & (F.col("opens") - F.col("first") <= history))
+
+
 def read_windows(windows: DataFrame) -> DataFrame:
     """What formatted windows say: per conversation its turns and the text under the loss mask.
 

@@ -148,6 +148,37 @@ def test_windows_keep_the_budget(spark):
     assert chat.read_windows(chat.format_windows(turns.limit(0))).count() == 0
 
 
+def test_windows_stay_within_the_budget(spark):
+    rng = random.Random(4)
+    rows = [(1, 0, "system", "rules " * 20)] + [(1, t, "assistant" if t % 2 else "user", "word " * 60) for t in range(1, 60)]
+    rows += [(2, t, "assistant" if t % 2 else "user", "word " * rng.choice([0, 1, 9, 70, 200, 300, 600])) for t in range(120)]
+    rows += [(3, 0, "system", "rule " * 600), (3, 1, "user", "word " * 3), (3, 2, "assistant", "word " * 4)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = chat.format_windows(turns, budget=512, history=128, within=True)
+    words = {c: [(r, len(t.split()) + chat.OVERHEAD) for k, _, r, t in rows if k == c] for c in (1, 2, 3)}
+    got = sorted(windows.collect(), key=lambda w: (w.conv_id, w.window))
+    done = {1: 0, 2: 0, 3: 0}
+    for w in got:
+        turn = [x.split("\n", 1) for x in w.formatted.split("<|im_start|>")[1:]]
+        sizes = [len(body.replace("<|im_end|>", "").split()) + chat.OVERHEAD for _, body in turn]
+        mine, new = words[w.conv_id], sizes[w.n_context :]
+        system = mine[0][1] if mine[0][0] == "system" else 0
+        assert new == [n for _, n in mine[done[w.conv_id] :][: len(new)]] and new
+        assert sum(sizes) <= 512 or len(new) == 1 and new[0] > 512 - 128 - system or system > 384
+        # all earlier turns that fit into the history stand before the new ones
+        held, n = [], 0
+        for _, size in reversed(mine[1 if system else 0 : done[w.conv_id]]):
+            n += size
+            if n > 128:
+                break
+            held.insert(0, size)
+        assert sizes[: w.n_context] == ([system] if system and done[w.conv_id] else []) + held
+        done[w.conv_id] += len(new)
+    assert done == {c: len(x) for c, x in words.items()}
+    plain = {r.conv_id: (r.n_turns, r.turns, r.learned) for r in chat.read_windows(chat.format_windows(turns)).collect()}
+    assert {r.conv_id: (r.n_turns, r.turns, r.learned) for r in chat.read_windows(windows).collect()} == plain
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
