@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from clausegraph.functions.text import once, running_totals
 
-DEEPEST = 500
+#: Spark's JSON reader takes 1,000 levels, one of them the array that `is_json` puts around.
+DEEPEST = 999
 
 _TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"|[\[\]{},]|[^"\[\]{},]++|"'
 _END = '"~the end of the reply~"'
@@ -132,17 +133,18 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     plain = _with_arrays(formed, F.when(array | mixed, F.col("body")), "_found")
     quoted = F.when(mixed & ~F.col("_found_any"), F.regexp_extract("body", r'(?s)^[^"]*"(.*)$', 1))
     rows = _with_arrays(plain, quoted, "_again").withColumn("_found", F.coalesce("_found", "_again"))
+    unread = F.coalesce(array & F.col("_found").isNull(), F.lit(False))
     salvaged = mixed & F.col("_found").isNotNull()
     items = (
-        F.when(array, F.coalesce("_found", F.array().cast("array<string>")))
+        F.when(array, F.col("_found"))
         .when(F.col("_value"), F.array("body"))
         .when(F.col("_each"), F.col("_lines"))
         .otherwise(F.col("_found"))
     )
     return rows.select(
         "reply_id",
-        F.when(F.col("_value"), "value").when(F.col("_each"), "lines").when(salvaged, "salvaged").otherwise("error").alias("form"),
-        F.when(F.col("_value"), array).when(F.col("_each") | salvaged, True).alias("is_list"),
+        F.when(unread, "error").when(F.col("_value"), "value").when(F.col("_each"), "lines").when(salvaged, "salvaged").otherwise("error").alias("form"),
+        F.when(F.col("_value") & ~unread, array).when(F.col("_each") | salvaged, True).alias("is_list"),
         items.alias("items"),
     )
 

@@ -89,6 +89,15 @@ def test_replies(spark):
         assert got[str(i)] == (form, items), CASES[i]
 
 
+def test_deep_arrays(spark):
+    deep = lambda n: "[1, " * (n - 1) + "[2]" + "]" * (n - 1)
+    depths = (499, 500, 501, 900, 998, 999, 1000, 1001, 1200)
+    raw = spark.createDataFrame([(str(n), deep(n)) for n in depths], "reply_id string, raw string")
+    got = {int(r.reply_id): (r.form, r.is_list, r["items"]) for r in rp.parsed_replies(raw).collect()}
+    for n in depths:
+        assert got[n] == (("value", True, ["1", deep(n - 1)]) if n <= 999 else ("error", None, None)), n
+
+
 def test_shape(spark):
     raw = spark.createDataFrame(
         [("a", "[1]"), ("b", '{"x": 1}'), ("c", '[{"x": 1}]'), ("d", "bad")],
