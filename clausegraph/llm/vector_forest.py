@@ -47,6 +47,8 @@ DEPTH = 9
 #: Share of linked pairs from which a cell is compared as a whole.
 DENSE = 0.2
 ROUNDS = 6
+#: Vector lengths that get trees before the first round, the most frequent ones.
+FITTED = 1000
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -56,14 +58,18 @@ def _cell(parent: int, node: np.ndarray) -> np.ndarray:
     return mix(node.astype(np.uint64) * np.uint64(_GOLD) ^ mix(np.array([seed]))[0]).view(np.int64)
 
 
+def _root(tree: int, dim: int) -> int:
+    return int(_cell(tree, np.array([dim]))[0])
+
+
 def _direction(cell: int, node: int, dim: int) -> np.ndarray:
     return np.random.default_rng([cell % 2**63, node]).standard_normal(dim)
 
 
-def _dense(x: np.ndarray) -> bool:
+def _dense(x: np.ndarray, near: float) -> bool:
     """Whether many of a cell's pairs are links, so that a split would part them."""
     some = x[:: max(len(x) // 128, 1)]
-    linked = (some @ some.T >= NEAR).sum() - len(some)
+    linked = (some @ some.T >= near).sum() - len(some)
     return linked >= DENSE * len(some) * (len(some) - 1)
 
 
@@ -104,7 +110,7 @@ def fit_cell(cell: int, sample: np.ndarray, rows: int, leaf: int = LEAF, near: f
         node, members, a, b = open_.pop()
         if node >= 2**DEPTH or len(members) * share <= leaf or len(members) < 16:
             continue
-        if _dense(sample[members]):
+        if _dense(sample[members], near):
             continue
         at = np.full(len(sample), np.nan)
         at[members] = sample[members] @ _direction(cell, node, sample.shape[1])
@@ -155,8 +161,9 @@ def _rows_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _router(trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
-    """All trees at once; a tree is known by its number and the vectors' dimension."""
+def _router(model: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], trees: int):
+    """All trees at once; a tree is known by its number and the vectors' dimension, one without splits is not in the model."""
+    whole = np.full(2, np.nan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +172,10 @@ def _router(trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]):
             for dim in np.unique(size):
                 mine = np.flatnonzero(size == dim)
                 x = _unit(np.stack([vectors[i] for i in mine]))
-                for (_, d), (root, low, high) in trees.items():
-                    if d == dim:
-                        row, cell = route(root, x, low, high)
-                        yield pa.RecordBatch.from_arrays([pa.array(node[mine[row]]), pa.array(cell)], names=["node", "cell"])
+                for t in range(trees):
+                    low, high = model.get((t, int(dim)), (whole, whole))
+                    row, cell = route(_root(t, dim), x, low, high)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[mine[row]]), pa.array(cell)], names=["node", "cell"])
 
     return run
 
@@ -198,7 +205,9 @@ def _reroute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST, near: float = NEAR) -> DataFrame:
     """(node, cell): the leaves of every vector of (node, vector) in all trees."""
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
-    counts = {r["d"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy("d").limit(1000).collect()}
+    # the other lengths begin as one cell a tree, which the rounds split
+    sizes = vectors.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).filter(F.col("n") > LEAF)
+    counts = {r["d"]: r["n"] for r in sizes.orderBy(F.desc("n"), "d").limit(FITTED).collect()}
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r["vector"]), []).append(r["vector"])
@@ -207,9 +216,8 @@ def leaves(vectors: DataFrame, trees: int = TREES, largest: int = LARGEST, near:
         mine = _unit(np.array(by_size[d], np.float64)) if d in by_size else np.zeros((0, d))
         pairs = linked_pairs(mine, near)
         for t in range(trees):
-            root = int(_cell(t, np.array([d]))[0])
-            model[t, d] = (root, *fit_cell(root, mine, n, near=near, pairs=pairs))
-    members = cut(vectors.mapInArrow(_router(model), "node bigint, cell bigint"))
+            model[t, d] = fit_cell(_root(t, d), mine, n, near=near, pairs=pairs)
+    members = cut(vectors.mapInArrow(_router(model, trees), "node bigint, cell bigint"))
     settled = None
     for _ in range(ROUNDS):
         sizes = members.groupBy("cell").agg(F.count("*").alias("n"))

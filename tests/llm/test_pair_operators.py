@@ -192,6 +192,23 @@ def test_forest_recall_and_empty_table(spark):
     assert vector_forest.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_forest_takes_any_number_of_lengths(spark):
+    rows = [(2 * d + k, [1.0] * d + [2.0 + 0.001 * k]) for d in range(1100) for k in range(2)]
+    got = vector_forest.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), trees=2).collect()
+    assert len(got) == len(rows)
+    # in one dimension both are the same direction
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i - i % 2) for i, _ in rows}
+
+
+def test_forest_rounds_split_lengths_without_a_model(spark, monkeypatch):
+    monkeypatch.setattr(vector_forest, "FITTED", 0)
+    x = np.random.default_rng(2).standard_normal((1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x + 0.001]))]
+    table = spark.createDataFrame(rows, "node bigint, vector array<double>")
+    sizes = [r["count"] for r in vector_forest.leaves(table, trees=2).groupBy("cell").count().collect()]
+    assert len(sizes) > 2 and max(sizes) <= 1024
+
+
 def test_forest_keeps_the_links_of_a_loose_cluster(spark):
     rng = np.random.default_rng(1)
     x = 0.05 * rng.standard_normal((12_000, 64))
