@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from there.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set up if it is not yet.
 
     The folder is the one the session names in spark.checkpoint.dir, which on
     a cluster is shared storage.  Only a local session may leave it unset.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to shared storage")
             folder = tempfile.mkdtemp(prefix="clausegraph-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and go on from there."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into a new folder, `name` and a number, of the checkpoint folder and read it back."""
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

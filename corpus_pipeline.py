@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm import byte_bpe, decontaminate, jaccard_join, pii, quality
 from clausegraph.llm.registry import table
-from clausegraph.plans.lineage import cut
+from clausegraph.plans.lineage import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -56,8 +56,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what a stage kept is written out once for the next, which reads it several times."""
+    """All stages in order; what a stage kept is written as Parquet for the next, which reads it several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -196,5 +197,9 @@ def test_pipeline_stages_take_effect(spark):
         sizes.append(kept.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] == sizes[4]
     final = corpus_pipeline.run(spark, sf_dir).collect()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    for (name, _), n in zip(corpus_pipeline.STAGES, sizes[1:]):
+        [path] = folder.glob(name.replace(" ", "-") + "-*")
+        assert spark.read.parquet(str(path)).count() == n
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in final} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in texts.items()}
