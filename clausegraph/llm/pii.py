@@ -124,7 +124,9 @@ def candidates(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> Da
     digit = F.col("text").rlike("[0-9]")
     found = {}
     for i, (_, _, pattern, needle) in enumerate(PATTERNS):
-        worth = F.contains("text", F.lit(needle)) if needle == "@" or needle == "at" else digit & F.contains("text", F.lit(needle))
+        worth = F.contains("text", F.lit(needle)) if needle == "@" else digit & F.contains("text", F.lit(needle))
+        if needle == "at":
+            worth = F.col("text").rlike(r"[(\[](?:at|AT)[)\]]")
         if needle == ":":
             worth = F.contains("text", F.lit(":"))
         found[f"m{i}"] = F.when(worth, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)

@@ -197,6 +197,14 @@ def test_strict_spans_equal_brute_force(spark, personal):
             assert not any(b[1] < s[2] and s[1] < b[2] for b in base)
 
 
+def test_loose_addresses_in_capitals_are_candidates(spark):
+    texts = ["MAIL JOHN (AT) EXAMPLE (DOT) COM", "JOHN[AT]EXAMPLE.COM", "john (at) example (dot) com", "JOHN AT EXAMPLE DOT COM"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(s.kind, s.first, s.last) for s in r.spans] for r in pii.candidates(table).collect()}
+    email = pii.KINDS.index("email")
+    assert got == {0: [(email, 5, 32)], 1: [(email, 0, 19)], 2: [(email, 0, 27)], 3: []}
+
+
 def masked(text, spans):
     if text is None:
         return None
