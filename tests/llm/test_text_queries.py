@@ -60,6 +60,15 @@ def test_hits_equal_brute_force(spark, passages):
     assert sorted((str(r[0]), r[1] or "", r[2], r[3], r[4]) for r in got) == want
 
 
+def test_items_without_id_contaminate(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    table = spark.createDataFrame([(1, passage), (2, "clean words only")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, passage), (7, "x y z")], "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.remove_contaminated(table, bench).collect()] == [2]
+    got = decontaminate.find_hits(table, bench, unnamed=True).select("doc_id", decontaminate.n_hit().alias("h"), "items")
+    assert sorted(map(tuple, got.collect())) == [(1, 20, []), (2, 0, [])]
+
+
 def test_small_blocks_of_items_give_the_same(spark, passages, monkeypatch):
     docs, items = passages
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
