@@ -36,3 +36,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there, in whichever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Rounds:
+    """The state of an iterative job as a chain of Parquet folders of which only the last is kept.
+
+    `step` writes a round's state and reads it back, so its lineage is a scan;
+    the state before it, which nothing needs any more, is then removed.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def step(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        if self.n:
+            remove(self.spark, f"{self.folder}/{self.n - 1}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
