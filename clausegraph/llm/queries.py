@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, chat, decontaminate, jaccard_join, label_sharding, pii, quality, token_counts, toxicity, vector_forest
+from clausegraph.llm import byte_bpe, centroids, chat, decontaminate, jaccard_join, label_sharding, pii, quality, token_counts, toxicity, vector_forest
+from clausegraph.llm.centroid_sql import centroid_sql
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -158,3 +159,8 @@ def op2_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_label_sharding")
 def op6_label_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op13_centroids", centroid_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
