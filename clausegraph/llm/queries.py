@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausegraph.llm import byte_bpe, centroids, chat, decontaminate, jaccard_join, label_sharding, language, pii, quality, token_counts, toxicity, vector_forest
+from clausegraph.llm import byte_bpe, centroids, chat, decontaminate, jaccard_join, label_sharding, language, pii, quality, spelling, token_counts, toxicity, vector_forest
 from clausegraph.llm.centroid_sql import centroid_sql
 from clausegraph.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -166,6 +166,11 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
 @query("op13_centroids", centroid_sql())
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
