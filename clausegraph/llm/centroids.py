@@ -50,7 +50,7 @@ def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: int = 3)
     """
     name = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.filter("vec_id is not null").orderBy(name, "x").select("x").limit(clusters).collect()
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64)
 
 
 def _follow(moved: np.ndarray, centroids: np.ndarray):

@@ -5,17 +5,17 @@ A node is a prefix of a word, named by the exclusive or of a hash for each
 frontier of states (word, place, node, edits) goes down the trie:
 
 * without an edit, a state stands at its own word's prefix.  Joined with the
-  edges of that node it gives one state with an edit for each child of a
-  *larger* code point (replacement), and it gives one that leaves its own code
-  point out (deletion).  Smaller code points and insertions are the same pairs
-  seen from the other word.
+  edges of that node that have its word's next code point (or end) after them,
+  it gives one state with an edit for each child of a *larger* code point
+  (replacement), and it gives one that leaves its own code point out (deletion).
+  Smaller code points and insertions are the same pairs seen from the other word.
 * with an edit, a state must find edges for the rest of its word.
 
 A pair that differs in the word's second half agrees in the first, so states
 begin at the middle, where nodes have few children; a second trie of the
 reversed words finds the pairs that differ in the first half.
 
-Levels are taken in bands of 1, 2, 4, ... from the middle.  A trie holds every
+Levels are taken in bands of 3, 4, 8, 16, ... from the middle.  A trie holds every
 prefix of what it holds, so a state that reaches the band's last level has found
 every edge before it: it is joined once a band, and a word of a million letters
 takes twenty rounds.  States that have used up their word are terminal; what they
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.text_arrays import mix, pieces
-from clausegraph.plans.lineage import cut
+from clausegraph.plans.lineage import cut, stored
 
 #: Fixed values of the query: what a run is, and the shortest and rarest words.
 RUN = r"[A-Za-zÀ-ÿ]"
@@ -42,6 +42,8 @@ SHORTEST, LEAST, DROP = 7, 2, 31
 TIMES = 10
 PIECE = 1 << 19
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands after the last code point of a word; no code point.
+_END = 0x110000
 _SIDES = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
 
@@ -79,8 +81,8 @@ def _prefixes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _bands(level: np.ndarray) -> np.ndarray:
-    """The band of a level: 0, 1-2, 3-6, 7-14, ..."""
-    return np.frexp((level + 1).astype(np.float64))[1] - 1
+    """The band of a level: 0-2, 3-6, 7-14, ..."""
+    return np.maximum(np.frexp((level + 1).astype(np.float64))[1] - 2, 0)
 
 
 class _Walk:
@@ -99,6 +101,11 @@ class _Walk:
         self.level = self.place - self.middle[self.word]
         self.prefix = _prefixes(self.gain, self.offsets)
         self.full = self.prefix[self.offsets[1:] + np.arange(len(words))]
+        after = np.append(self.points[1:], _END) if len(self.points) else self.points
+        after[self.offsets[1:][self.n > 0] - 1] = _END
+        # the prefix before each place and the code point after it, the place itself left open
+        self.gap = self.prefix[np.arange(len(self.points)) + self.word] ^ _gain(side, self.place + 1, after)
+        self.ended = after == _END
         self.band = _bands(np.maximum(self.level, 0))
         # the word without a place: what stands after it moves up by one
         moved = np.zeros_like(self.gain)
@@ -130,7 +137,7 @@ def _checks(walk: _Walk, rows: np.ndarray, deleted: bool) -> pa.ListArray:
     counts = np.maximum(last - first, 0) + 1
     row = np.repeat(np.arange(len(rows)), counts)
     band = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    depth = np.minimum(walk.middle[word[row]] + (np.int64(2) << band) - 1, size[row])
+    depth = np.minimum(walk.middle[word[row]] + (np.int64(4) << band) - 1, size[row])
     if deleted:
         head = walk.at(walk.prefix, word, place)
         value = head[row] ^ walk.at(walk.moved, word[row], depth) ^ walk.at(walk.moved, word, place)[row]
@@ -139,8 +146,8 @@ def _checks(walk: _Walk, rows: np.ndarray, deleted: bool) -> pa.ListArray:
     return _lists(counts, value)
 
 
-_EDGES = "node bigint, point int, gain bigint, ends boolean"
-_STANDING = "id bigint, node bigint, point int, gain bigint, checks array<bigint>"
+_EDGES = "gap bigint, point int, gain bigint"
+_STANDING = "id bigint, gap bigint, point int, gain bigint, checks array<bigint>"
 _DELETED = "id bigint, checks array<bigint>"
 _NAMED = "id bigint, word string, n bigint"
 
@@ -154,28 +161,31 @@ def _named(walk: _Walk, batch: pa.RecordBatch) -> dict:
 
 
 def _edges(walk: _Walk, batch: pa.RecordBatch) -> dict:
-    """The edges below the words' middles; `ends` where states are checked.
+    """The distinct edges below the words' middles, by what stands before and after them."""
+    mine = np.flatnonzero(walk.level >= 0)
+    gap, gain, point = walk.gap[mine], walk.gain[mine], walk.points[mine]
+    order = np.lexsort((gain, gap))
+    gap, gain, point = gap[order], gain[order], point[order]
+    new = np.ones(len(gap), bool)
+    new[1:] = (gap[1:] != gap[:-1]) | (gain[1:] != gain[:-1])
+    return {"gap": _long(gap[new]), "point": pa.array(point[new].astype(np.int32)), "gain": _long(gain[new])}
+
 
-    A state is checked at 1, 3, 7, ... levels below its word's middle, and the
-    middle of a word that is one shorter may be one higher.
+def _reached(walk: _Walk, batch: pa.RecordBatch) -> dict:
+    """The distinct nodes at which states are checked: 3, 7, 15, ... levels below their words' middles.
+
+    The middle of a word that is one shorter may be one higher.
     """
-    mine = np.flatnonzero(walk.level >= 0)
-    node, gain = walk.at(walk.prefix, walk.word[mine], walk.place[mine]), walk.gain[mine]
-    depth = walk.level[mine] + 1
-    ends = ((depth & (depth + 1)) == 0) | ((depth & (depth - 1)) == 0)
-    order = np.lexsort((ends, gain, node))
-    node, gain, ends, point = node[order], gain[order], ends[order], walk.points[mine][order]
-    last = np.ones(len(node), bool)  # of equal edges, one that ends
-    last[:-1] = (node[1:] != node[:-1]) | (gain[1:] != gain[:-1])
-    return {"node": _long(node[last]), "point": pa.array(point[last].astype(np.int32)), "gain": _long(gain[last]), "ends": pa.array(ends[last])}
+    depth = walk.level + 2
+    mine = np.flatnonzero((walk.level >= 0) & ~walk.ended & (((depth & (depth + 1)) == 0) | ((depth & (depth - 1)) == 0)))
+    return {"child": _long(np.unique(walk.gap[mine] ^ walk.gain[mine]))}
 
 
 def _standing(band: int):
     def rows(walk: _Walk, batch: pa.RecordBatch) -> dict:
         mine = np.flatnonzero((walk.level >= 0) & (walk.band == band))
-        node = walk.at(walk.prefix, walk.word[mine], walk.place[mine])
         return {
-            "id": _long(walk.full[walk.word[mine]]), "node": _long(node), "point": pa.array(walk.points[mine].astype(np.int32)),
+            "id": _long(walk.full[walk.word[mine]]), "gap": _long(walk.gap[mine]), "point": pa.array(walk.points[mine].astype(np.int32)),
             "gain": _long(walk.gain[mine]), "checks": _checks(walk, mine, False),
         }
 
@@ -212,33 +222,29 @@ def near_pairs(words: DataFrame) -> DataFrame:
     if longest is None:
         return words.select("word", "n", F.col("word").alias("other"), F.col("n").alias("other_n"))
     last = int(_bands(np.array([(longest + 1) // 2]))[0])
-    # a node has no more edges than there are code points in an alphabet, so its set is bounded
-    nodes = cut(_walked(words, _edges, _EDGES).groupBy("node").agg(F.collect_set(F.struct("point", "gain", "ends")).alias("edges")))
-    forks = F.array_distinct(F.transform("edges", lambda e: F.struct(e["point"].alias("point"), e["gain"].alias("gain"))))
-    children = nodes.select(F.col("node").alias("_node"), forks.alias("_e")).filter(F.size("_e") > 1).select("_node", F.inline("_e").alias("_point", "_gain"))
-    ends = nodes.select("node", F.inline("edges")).filter("ends").select(F.col("node").bitwiseXOR(F.col("gain")).alias("_child")).distinct()
-    frontier, terminal = None, []
+    # edges of one gap differ in one code point, so their set is bounded by the alphabet
+    fork = _walked(words, _edges, _EDGES).groupBy("gap").agg(F.collect_set(F.struct("point", "gain")).alias("_e")).filter(F.size("_e") > 1)
+    children = stored(fork.select(F.col("gap").alias("_gap"), F.inline("_e").alias("_point", "_gain")), "trie-forks")
+    reached = stored(_walked(words, _reached, "child bigint").distinct(), "trie-nodes")
+    frontier, terminal = None, None
     for band in range(last + 1):
         # states without an edit: replaced by larger children, or with their own code point left out
         here = _walked(words, _standing(band), _STANDING)
-        larger = (F.col("node") == F.col("_node")) & (F.col("_point") > F.col("point"))
-        change = F.col("gain").bitwiseXOR(F.col("_gain"))
-        branches = here.join(children, larger).withColumn("_change", change)
+        larger = (F.col("gap") == F.col("_gap")) & (F.col("_point") > F.col("point"))
+        branches = here.join(children, larger).withColumn("_change", F.col("gain").bitwiseXOR(F.col("_gain")))
         replaced = branches.select("id", F.transform("checks", lambda c: c.bitwiseXOR(F.col("_change"))).alias("checks"))
         deleted = _walked(words, _deleted(band), _DELETED)
         # states with an edit go to the end of the band, if the trie has the way
         walking = deleted if frontier is None else frontier.union(deleted)
-        ways = walking.filter(F.size("checks") > 1).withColumn("_child", F.element_at("checks", 1)).join(ends, "_child", "left_semi")
+        ways = walking.filter(F.size("checks") > 1).withColumn("child", F.element_at("checks", 1)).join(reached, "child", "left_semi")
         passed = ways.select("id", F.slice("checks", F.lit(2), F.size("checks") - 1).alias("checks"))
-        states = cut(replaced.union(passed).union(walking.filter(F.size("checks") == 1)))
-        terminal.append(states.filter(F.size("checks") == 1).select("id", F.col("checks")[0].alias("spelt")))
+        states = stored(replaced.union(passed).union(walking.filter(F.size("checks") == 1)), "trie-frontier")
+        ended = states.filter(F.size("checks") == 1).select("id", F.col("checks")[0].alias("spelt"))
+        terminal = ended if terminal is None else terminal.union(ended)
         frontier = states.filter(F.size("checks") > 1)
-    named = cut(_walked(words, _named, _NAMED))
-    found = terminal[0]
-    for more in terminal[1:]:
-        found = found.union(more)
+    named = _walked(words, _named, _NAMED)
     other = named.select(F.col("id").alias("spelt"), F.col("word").alias("other"), F.col("n").alias("other_n"))
-    pairs = found.join(other, "spelt").join(named, "id").filter(F.levenshtein("word", "other", 1) == 1)
+    pairs = terminal.join(other, "spelt").join(named, "id").filter(F.levenshtein("word", "other", 1) == 1)
     return pairs.select("word", "n", "other", "other_n").distinct()
 
 
