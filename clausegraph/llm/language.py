@@ -159,7 +159,8 @@ def sample_windows(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarr
     # 2^20 steps of the hash; a language of up to twice its share keeps all ids
     thin = F.pmod(of_id, F.lit(1 << 20)).cast("double") * F.col("n") < float(2 * share << 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(of_id, "doc_id"))
-    chosen = known.join(sizes, "lang").filter(thin).select("doc_id", "lang").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= share)
+    # at most `LANGUAGES` rows, so the broadcast is bounded; a join by language would gather one language in a task
+    chosen = known.join(F.broadcast(sizes), "lang").filter(thin).select("doc_id", "lang").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= share)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
