@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 Turns get their place and the running sum of tokens before them.  The sums cut
-a conversation into strides of `budget - history` tokens: a turn is new in the
-window of the stride in which it begins, so windows hold whole turns.  Later
-windows repeat the system turn and the last turns that fit into `history`
+a conversation into strides of what the history and the system turn leave of
+the budget: a turn is new in the window of the stride in which it begins, one
+that overhangs its stride in a window of its own, so windows hold whole turns.
+Later windows repeat the system turn and the last turns that fit into `history`
 tokens.  Loss falls on assistant turns where they are new, nowhere else.
 
 A turn is written `<|im_start|>role`, a line feed, the text, `<|im_end|>`, a
@@ -11,10 +12,10 @@ line feed.  A backslash goes before each backslash and between `<` and `|`, in
 roles also before a line feed; so no control string stands inside a text, and
 dropping the backslashes gives it back.
 
-Windows are bounded by the budget, the system turn and the longest turn, however
-long their conversation: the last turn of a stride may overhang it.  Asked to stay
-`within` the budget, strides are what the system turn and the history leave of
-it, and a turn that overhangs its stride is a window of its own.  Running sums are range partitioned by conversation and turn.
+A window's turns have no more tokens than the budget, however long their
+conversation, unless its only new turn is longer than its room.  Sums and
+windows are worked out on rows without texts, range partitioned by conversation
+and turn; a text joins its windows once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.ordered import running_totals
+from clausegraph.plans.lineage import cut
 
 BUDGET, HISTORY = 1024, 256
 #: Tokens that the template adds to a turn.
@@ -44,7 +46,7 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = False) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """(conv_id, window, formatted, loss, n_context) of all windows.
 
     `loss` are the code point ranges [first, last) of the new assistant texts,
@@ -53,58 +55,37 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     then role and text; a null role or text is empty; rows with a null conv_id
     make up one conversation; repeated rows are turns of their own.
 
-    With `within`, the turns of a window have no more than `budget` tokens,
-    the system turn and the history included, unless its only new turn is
-    longer than the room that these leave.
+    A window has no more than `budget` tokens, the system turn and the history
+    included, unless its only new turn is longer than the room that these leave.
     """
     if not 0 <= history <= budget // 2:
         raise ValueError("the history must fit into half of the budget")
-    stride = budget - history
     base = turns.select(
         F.concat(F.when(F.col("conv_id").isNull(), "null").otherwise("id"), F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).alias("key"),
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("tokens", F.lit(OVERHEAD) + F.regexp_count("text", F.lit(TOKEN)))
     summed = running_totals(base, ["key", "turn", "role", "text"], {"before": F.col("tokens"), "row": F.lit(1)})
-    whole = summed.groupBy("key").agg(
-        F.min("before").alias("_from"), F.min("row").alias("_row"), F.max(F.col("before") + F.col("tokens")).alias("_to"),
-    )
-    placed = summed.join(whole, "key").select(
-        "key", "conv_id", "role", "text",
-        (F.col("row") - F.col("_row")).alias("place"),
-        (F.col("before") - F.col("_from")).alias("first"),
-        (F.col("before") - F.col("_from") + F.col("tokens")).alias("last"),
-        (F.col("_to") - F.col("_from")).alias("total"),
+    slim = cut(summed.select("row", "key", (F.col("role") == "system").alias("_system"), "tokens", "before"))
+    first_row = F.min_by(F.struct("before", F.when(F.col("_system"), F.col("tokens")).otherwise(0).alias("system")), "row").alias("_first")
+    whole = slim.groupBy("key").agg(F.min("row").alias("_row"), first_row)
+    first = F.col("before") - F.col("_first.before")
+    placed = slim.join(whole, "key").select(
+        "key", "row", (F.col("row") - F.col("_row")).alias("place"), first.alias("first"), (first + F.col("tokens")).alias("last"),
+        F.col("_first.system").alias("system"), ((F.col("row") == F.col("_row")) & F.col("_system")).alias("is_system"),
     )
-    if within:
-        heads = placed.filter("place = 0").select("key", F.when(F.col("role") == "system", F.col("last")).otherwise(0).alias("system"))
-        placed = placed.join(heads, "key")
-        # the system turn stands before the first stride
-        room = F.greatest(F.lit(stride) - F.col("system"), F.lit(1))
-        begins, ends = (F.greatest(F.col(c) - F.col("system"), F.lit(0)) for c in ("first", "last"))
-        overhangs = (ends > (F.floor(begins / room) + 1) * room).cast("int")
-        placed = placed.withColumn("window", 2 * F.floor(begins / room) + overhangs)
-    else:
-        placed = placed.withColumn("window", F.floor(F.col("first") / stride))
-    windows = placed.groupBy("key", "window").agg(F.max("last").alias("closes"))
-    is_system = (F.col("place") == 0) & (F.col("role") == "system")
-    columns = ["key", "conv_id", "role", "text", "place"]
-    new = placed.select(*columns, "window", F.lit(False).alias("repeated"))
-    if within:
-        recent = _before_windows(placed.filter(~is_system), placed, history).select(*columns, "window", F.lit(True).alias("repeated"))
-    else:
-        recent = (
-            placed.join(windows, ["key", "window"])
-            .filter((F.col("closes") < F.col("total")) & (F.col("closes") - F.col("first") <= history) & ~is_system)
-            .select(*columns, F.floor(F.col("closes") / stride).alias("window"), F.lit(True).alias("repeated"))
-        )
-    system = (
-        placed.filter(is_system)
-        .drop("window")
-        .join(windows.filter("window > 0"), "key")
-        .select(*columns, "window", F.lit(True).alias("repeated"))
-    )
+    # the system turn stands before the first stride
+    room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(1))
+    begins, ends = (F.greatest(F.col(c) - F.col("system"), F.lit(0)) for c in ("first", "last"))
+    overhangs = (ends > (F.floor(begins / room) + 1) * room).cast("int")
+    placed = cut(placed.withColumn("window", 2 * F.floor(begins / room) + overhangs))
+    opens = placed.groupBy("key", "window").agg(F.min("first").alias("opens"))
+    columns = ["row", "key", "place", "window"]
+    new = placed.select(*columns, F.lit(False).alias("repeated"))
+    recent = _before_windows(placed.filter("not is_system"), opens, history).select(*columns, F.lit(True).alias("repeated"))
+    system = placed.filter("is_system").drop("window").join(opens.filter("window > 0"), "key").select(*columns, F.lit(True).alias("repeated"))
+    said = summed.select("row", "conv_id", "role", "text").join(new.unionByName(recent).unionByName(system), "row")
     whole_turns = F.array_sort(F.collect_list(F.struct("place", "repeated", "role", "text")))
-    parts = new.unionByName(recent).unionByName(system).groupBy("key", "window").agg(
+    parts = said.groupBy("key", "window").agg(
         F.first("conv_id").alias("conv_id"), whole_turns.alias("turns")
     )
     written = parts.select(
@@ -145,16 +126,17 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
 
 
-def _before_windows(turns: DataFrame, placed: DataFrame, history: int) -> DataFrame:
+def _before_windows(turns: DataFrame, opens: DataFrame, history: int) -> DataFrame:
     """The turns that lie within `history` tokens before a window opens, with its number as `window`.
 
     Both sides meet in buckets of `history` tokens, so a turn meets the windows near it only.
     """
     size = max(history, 1)
-    opens = placed.groupBy("key", "window").agg(F.min("first").alias("opens")).withColumn("_bucket", F.floor(F.col("opens") / size))
     bucket = F.floor(F.col("first") / size)
     near = turns.drop("window").withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
-    return near.join(opens, ["key", "_bucket"]).filter((F.col("first") < F.col("opens")) & (F.col("opens") - F.col("first") <= history))
+    return near.join(opens.withColumn("_bucket", F.floor(F.col("opens") / size)), ["key", "_bucket"]).filter(
+        (F.col("first") < F.col("opens")) & (F.col("opens") - F.col("first") <= history)
+    )
 
 
 def read_windows(windows: DataFrame) -> DataFrame:

@@ -41,11 +41,11 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[object, str]], window: int, unnamed: bool = False):
+    def __init__(self, items: list[tuple[object, str]], window: int):
         texts: dict[tuple[bytes, ...], set] = {}
         for item, text in items:
             words = tuple(w.encode() for w in _WORD.findall((text or "").translate(_LOWER)))
-            if words and (unnamed or item is not None):
+            if words:
                 texts.setdefault(words, set()).update([] if item is None else [item])
         self.items = [sorted(x, key=str) for x in texts.values()]
         vocabulary = sorted({w for words in texts for w in words})
@@ -213,7 +213,7 @@ class Shard:
         return best, where
 
 
-def _blocks(benchmark: DataFrame, item: str, window: int, unnamed: bool = False) -> list[TestSuffixes]:
+def _blocks(benchmark: DataFrame, item: str, window: int) -> list[TestSuffixes]:
     """The test items in blocks of bounded size; their whole size is checked first."""
     rows = benchmark.select(F.col(item).alias("item"), F.col("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
@@ -221,22 +221,22 @@ def _blocks(benchmark: DataFrame, item: str, window: int, unnamed: bool = False)
         raise ValueError(f"the benchmark has {size} bytes; at most {LIMIT_BYTES} are sent to tasks")
     n = size // BLOCK_BYTES + 1
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [TestSuffixes([(r["item"], r["text"]) for r in rows.filter(part == b).collect()], window, unnamed) for b in range(n)]
+    return [TestSuffixes([(r["item"], r["text"]) for r in rows.filter(part == b).collect()], window) for b in range(n)]
 
 
 _FOUND = "array<struct<first:int,last:int>>"
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, unnamed: bool = False) -> DataFrame:
+def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, n_words, hits, items): where test windows occur in each document.
 
     `hits` are the word ranges [first, last) covered by occurring windows,
     merged; `items` the ids of items with occurring windows, sorted as strings.
-    A null text has no words; a null item_id or an item without words is no
-    item; repeated items count once; every row of `documents` gives one row.
-    With `unnamed`, the windows of items with a null item_id make hits too.
+    A null text has no words; an item without words has no windows; repeated
+    items count once; every row of `documents` gives one row.  The windows of
+    an item with a null item_id make hits too, only `items` leaves it out.
     """
-    blocks = _blocks(benchmark, "item_id", window, unnamed)
+    blocks = _blocks(benchmark, "item_id", window)
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     state = documents.select(
         "doc_id", "text", F.lit(0).cast("bigint").alias("n_words"),
@@ -344,7 +344,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
     """
     packed = documents.select(F.struct("*").alias("doc_id"), "text")
     return (
-        find_hits(packed, benchmark, window, unnamed=True)
+        find_hits(packed, benchmark, window)
         .filter(~contaminated())
         .select(*[F.col("doc_id").getField(c).alias(c) for c in documents.columns])
     )

@@ -21,7 +21,7 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 OP1_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words_sql(_ALNUM)} AS w FROM documents),
-b AS (SELECT item_id, {words_sql(_ALNUM)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {words_sql(_ALNUM)} AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
   FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
@@ -33,7 +33,7 @@ found AS (SELECT DISTINCT rid, i, win.n, item_id FROM spot JOIN win ON spot.n =
 hit AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM found) GROUP BY rid),
 items AS (
   SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
-  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS x FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
@@ -86,17 +86,24 @@ o AS (
   FROM t),
 p AS (
   SELECT *, row_number() OVER w - 1 AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS last,
-    sum(tokens) OVER (PARTITION BY conv_id) AS total
+    first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER w AS head
   FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-q AS (SELECT *, last - tokens AS first, floor((last - tokens) / {chat.BUDGET - chat.HISTORY}) AS win FROM p),
-r AS (SELECT *, max(last) OVER (PARTITION BY conv_id, win) AS closes, place = 0 AND role = 'system' AS sys FROM q)
+s AS (
+  SELECT *, last - tokens AS first, place = 0 AND role = 'system' AS sys, greatest({chat.BUDGET - chat.HISTORY} - head, 1) AS room,
+    greatest(last - tokens - head, 0) AS begins, greatest(last - head, 0) AS ends
+  FROM p),
+q AS (SELECT *, 2 * (begins // room) + (ends > (begins // room + 1) * room)::INT AS win FROM s),
+k AS (SELECT conv_id, win, min(first) AS opens FROM q GROUP BY conv_id, win),
+again AS (
+  SELECT k.conv_id, sum(q.chars) AS chars FROM k JOIN q ON q.conv_id IS NOT DISTINCT FROM k.conv_id
+    AND (q.sys AND k.win > 0 OR NOT q.sys AND q.first < k.opens AND k.opens - q.first <= {chat.HISTORY})
+  GROUP BY k.conv_id)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  (sum(chars) + coalesce(sum(chars) FILTER (NOT sys AND closes < total AND closes - first <= {chat.HISTORY}), 0)
-    + coalesce(max(chars) FILTER (sys), 0) * (count(DISTINCT win) - 1))::BIGINT AS formatted_chars
-FROM r GROUP BY conv_id
+  (sum(chars) + coalesce((SELECT again.chars FROM again WHERE again.conv_id IS NOT DISTINCT FROM q.conv_id), 0))::BIGINT AS formatted_chars
+FROM q GROUP BY conv_id
 """
 
 

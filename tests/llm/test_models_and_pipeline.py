@@ -155,7 +155,7 @@ def test_windows_stay_within_the_budget(spark):
     rows += [(2, t, "assistant" if t % 2 else "user", "word " * rng.choice([0, 1, 9, 70, 200, 300, 600])) for t in range(120)]
     rows += [(3, 0, "system", "rule " * 600), (3, 1, "user", "word " * 3), (3, 2, "assistant", "word " * 4)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    windows = chat.format_windows(turns, budget=512, history=128, within=True)
+    windows = chat.format_windows(turns, budget=512, history=128)
     words = {c: [(r, len(t.split()) + chat.OVERHEAD) for k, _, r, t in rows if k == c] for c in (1, 2, 3)}
     got = sorted(windows.collect(), key=lambda w: (w.conv_id, w.window))
     done = {1: 0, 2: 0, 3: 0}
@@ -176,13 +176,14 @@ def test_windows_stay_within_the_budget(spark):
         assert sizes[: w.n_context] == ([system] if system and done[w.conv_id] else []) + held
         done[w.conv_id] += len(new)
     assert done == {c: len(x) for c, x in words.items()}
-    plain = {r.conv_id: (r.n_turns, r.turns, r.learned) for r in chat.read_windows(chat.format_windows(turns)).collect()}
+    text = lambda role, c: "".join(f"{r}\n{t}\n" if role is None else t * (r == role) for k, _, r, t in rows if k == c)
+    plain = {c: (len(words[c]), text(None, c), text("assistant", c)) for c in words}
     assert {r.conv_id: (r.n_turns, r.turns, r.learned) for r in chat.read_windows(windows).collect()} == plain
 
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(ORACLES) <= set(QUERIES)
 
 

@@ -24,14 +24,14 @@ def brute_hits(text, items):
     words, hit, found = words_of(text), set(), set()
     for item, body in items:
         b = words_of(body)
-        if item is None or not b:
+        if not b:
             continue
         n = min(13, len(b))
         for i in range(len(b) - n + 1):
             for p in range(len(words) - n + 1):
                 if words[p : p + n] == b[i : i + n]:
                     hit.update(range(p, p + n))
-                    found.add(item)
+                    found.update([] if item is None else [item])
     return len(words), len(hit), sorted(found, key=str)
 
 
@@ -65,7 +65,7 @@ def test_items_without_id_contaminate(spark):
     table = spark.createDataFrame([(1, passage), (2, "clean words only")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(None, passage), (7, "x y z")], "item_id bigint, text string")
     assert [r.doc_id for r in decontaminate.remove_contaminated(table, bench).collect()] == [2]
-    got = decontaminate.find_hits(table, bench, unnamed=True).select("doc_id", decontaminate.n_hit().alias("h"), "items")
+    got = decontaminate.find_hits(table, bench).select("doc_id", decontaminate.n_hit().alias("h"), "items")
     assert sorted(map(tuple, got.collect())) == [(1, 20, []), (2, 0, [])]
 
 
