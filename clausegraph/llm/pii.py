@@ -11,8 +11,9 @@ no strict span.
 
 Spans are made inside the document row, so documents are never shuffled; only
 counts per vote and feature tuple (a few thousand at most) reach the driver.
-Cost in a row is linear in its text, but for the overlap test, which is the
-product of its loose and its strict spans.
+Cost in a row is near linear in its text and its spans: these are sorted once,
+running maxima of their ends are folded in blocks, and pieces of the text are
+cut from blocks of it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 ROUNDS = 30
 CONTEXT = 40
+#: Code points of a block of text, elements of a block of a fold.
+BLOCK, _FOLD = 1024, 128
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: kind, whether strict, pattern, text that must occur for a match.  A match can only begin where a
@@ -236,10 +239,34 @@ def apply_model(found: DataFrame, model: SpanModel, sure: float = SURE) -> DataF
     carried = [c for c in found.columns if c != "spans"]
     short = lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last"))
     strict = F.array_sort(F.transform(F.filter("spans", lambda s: s["base"]), short))
-    df = once(found, base=strict)
-    clear = lambda s: ~F.exists("base", lambda b: (b["first"] < s["last"]) & (s["first"] < b["last"]))
-    more = F.transform(F.filter("spans", lambda s: ~s["base"] & (model.score(s) >= sure) & clear(s)), short)
-    return df.select(*carried, "base", F.array_sort(F.array_distinct(F.concat("base", more))).alias("spans"))
+    loose = F.filter("spans", lambda s: ~s["base"] & (model.score(s) >= sure))
+    df = once(found, base=strict, _loose=F.transform(loose, short))
+    # strict spans by their begin and loose ones by their end: a loose span is
+    # free if no strict one before it in this order ends beyond its begin
+    event = lambda at, top, s: F.struct(at.alias("at"), (top > 0).alias("strict"), s.alias("s"), top.alias("top"))
+    marks = F.concat(F.transform("base", lambda s: event(s["first"], s["last"], s)), F.transform("_loose", lambda s: event(s["last"], F.lit(0), s)))
+    df = once(df, _marks=F.when(F.size("_loose") > 0, F.array_sort(marks)).otherwise(F.slice(marks, 1, 0)))
+    df = once(df, _tops=running_maxima("transform(_marks, m -> m.top)"))
+    free = F.filter("_marks", lambda m, i: ~m["strict"] & (F.get("_tops", i) <= m["s"]["first"]))
+    return df.select(*carried, "base", F.array_sort(F.array_distinct(F.concat("base", F.transform(free, lambda m: m["s"])))).alias("spans"))
+
+
+def running_maxima(ends: str) -> Column:
+    """For each of an INT array, the largest of those before it and 0; folded in blocks, as arrays are copied when they grow."""
+    fold = """aggregate({xs}, named_struct('top', {top}, 'out', cast(array() as array<int>)),
+      (q, x) -> named_struct('top', greatest(q.top, x), 'out', array_append(q.out, q.top)), q -> q.out)"""
+    return F.expr(f"""flatten(aggregate(
+      transform(sequence(0, int(size({ends}) div {_FOLD})), b -> slice({ends}, b * {_FOLD} + 1, {_FOLD})),
+      named_struct('top', 0, 'done', cast(array() as array<array<int>>)),
+      (acc, block) -> named_struct('top', greatest(acc.top, coalesce(array_max(block), 0)),
+        'done', array_append(acc.done, {fold.format(xs="block", top="acc.top")})),
+      acc -> acc.done))""")
+
+
+def _between(blocks: str, first: Column, last: Column) -> Column:
+    """The code points [first, last) of a text cut into blocks of `BLOCK`; `last` may lie beyond its end."""
+    whole = F.slice(F.col(blocks), F.floor(first / BLOCK).cast("int") + 1, (F.floor(last / BLOCK) - F.floor(first / BLOCK)).cast("int") + 1)
+    return F.substring(F.array_join(whole, ""), (first % BLOCK + 1).cast("int"), last - first)
 
 
 def written(spans: str) -> Column:
@@ -258,24 +285,20 @@ def mask(documents: DataFrame, sure: float = SURE) -> DataFrame:
     """
     model = fit(candidates(documents.select(F.lit(0).alias("doc_id"), "text")))
     names = {c: f"_c{i}" for i, c in enumerate(documents.columns)}
-    packed = documents.select(*[F.col(c).alias(n) for c, n in names.items()], "text")
-    found = apply_model(candidates(packed, tuple(names.values())), model, sure)
+    packed = documents.toDF(*names.values())
+    text = names["text"]
+    found = apply_model(candidates(packed.withColumn("text", F.col(text)), tuple(names.values())), model, sure)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
     df = once(found.drop("base"), ordered=ordered)
-    text = F.col(names["text"])
+    # where the text goes on after the spans before; a span that begins earlier is masked with these
+    df = once(df, _tops=running_maxima("transform(ordered, s -> s.last)"), _blocks=F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
     labels = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    kept = F.aggregate(
-        "ordered",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(
-            s["first"] >= a["at"],
-            F.struct(
-                s["last"].alias("at"),
-                F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["first"] - a["at"]), F.get(labels, s["kind"]))).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["last"]).alias("at"), a["out"].alias("out"))),
-    )
-    df = once(df, kept=kept)
-    masked = F.concat(F.array_join("kept.out", ""), F.substring(text, F.col("kept.at") + 1, F.char_length(text)))
-    final = F.when(F.size("spans") > 0, masked).otherwise(text)
+
+    def piece(s: Column, i: Column) -> Column:
+        at = F.get("_tops", i)
+        return F.when(s["first"] >= at, F.concat(_between("_blocks", at, s["first"]), F.get(labels, s["kind"]))).otherwise("")
+
+    rest = F.array_max(F.transform("ordered", lambda s: s["last"]))
+    df = once(df, _pieces=F.transform("ordered", piece), _rest=_between("_blocks", rest, F.greatest(rest, F.char_length(text))))
+    final = F.when(F.size("spans") > 0, F.concat(F.array_join("_pieces", ""), F.col("_rest"))).otherwise(F.col(text))
     return df.select(*[(final if c == "text" else F.col(n)).alias(c) for c, n in names.items()])

@@ -177,16 +177,22 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = TH
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `documents` whose text is not rejected, all columns kept.
+    """The rows of `documents` whose text is not rejected, all columns kept, whatever their names.
 
-    Learns from `labels` as `score_quality` does; rows are judged, not ids.
+    Learns from `labels` as `score_quality` does; rows are judged, not ids, so
+    repeated rows and null ids are safe.  A null or empty text is judged by the
+    statistics of an empty one; an empty table stays empty; without labels of
+    both kinds all rows have one score.
     """
     train = training_labels(labels, "quality", remainder("doc_id", FOLDS) != 0)
     model = fit(cut(measure(documents)).join(train, "doc_id").select("stats", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, PIECE):
-            good = model.score(statistics(batch.column(batch.schema.get_field_index("text")))) >= threshold
+        for batch in pieces(batches, PIECE, f"_c{text}"):
+            good = model.score(statistics(batch.column(text))) >= threshold
             yield batch.filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    # by position: a name may hold a dot
+    text = documents.columns.index("text")
+    plain = documents.toDF(*[f"_c{i}" for i in range(len(documents.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*documents.columns)

@@ -6,11 +6,12 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
 
-from clausegraph.llm import byte_bpe, decontaminate, pii, token_counts
+from clausegraph.llm import byte_bpe, decontaminate, pii, quality, token_counts
 
 DOCS = "doc_id bigint, text string, hits string, node int"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -247,3 +248,43 @@ def test_labelers_and_masking(spark, personal):
     assert hashlib.sha256(b"").hexdigest() == pii.find_personal_data(table.filter("doc_id = 201")).select(
         __import__("pyspark.sql.functions", fromlist=["sha2"]).sha2(pii.written("base"), 256)
     ).first()[0]
+
+
+def test_loose_spans_give_way_to_strict_ones_only(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        strict = sorted((rng.randrange(4), a, a + rng.randrange(1, 30)) for a in rng.sample(range(1, 2000), 60))
+        loose = sorted({(rng.randrange(4), a, a + rng.randrange(1, 30)) for a in rng.sample(range(1, 2000), 300)})
+        span = lambda s, base: (*s, base, (int(base), 1, 1, 1), 1, 1)
+        schema = "doc_id int, spans array<struct<kind:int,first:int,last:int,base:boolean,votes:struct<strict:int,gazetteer:int,context:int,shape:int>,length:int,style:int>>"
+        found = spark.createDataFrame([(1, [span(s, True) for s in strict] + [span(s, False) for s in loose]), (2, []), (3, [span(s, False) for s in loose])], schema)
+        sure = pii.SpanModel({}, {f"{k}::0": 9.0 for k in range(4)})
+        got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.apply_model(found, sure).collect()}
+        free = [s for s in loose if not any(b[1] < s[2] and s[1] < b[2] for b in strict)]
+        assert got == {1: sorted({*strict, *free}), 2: [], 3: loose} and 10 < len(free) < 300
+
+
+def test_masking_of_odd_columns_and_tables(spark):
+    body = ("é🙂 " * 700) + "write to a.b@example.com or +1 555 123 4567 " + ("ü" * 1500) + " 10.0.0.1"
+    rows = [(1, body, "x", 1), (2, None, "y", 2), (2, "", None, 3), (None, body, "x", 1)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, `meta.url` string, spans int")
+    out = pii.mask(table)
+    assert out.schema == table.schema
+    masked_body = body.replace("a.b@example.com", "<EMAIL>").replace("+1 555 123 4567", "<PHONE>").replace("10.0.0.1", "<IP>")
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(d, t and masked_body, u, k) for d, t, u, k in rows], table.schema).collect()))
+    assert pii.mask(table.limit(0)).collect() == []
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id int, quality int")
+    assert quality.keep_good(table, marks).schema == table.schema
+    assert quality.keep_good(table.limit(0), marks).collect() == []
+
+
+@pytest.mark.parametrize("n", [4000])
+def test_masking_takes_near_linear_time(spark, n):
+    took = []
+    for k in (n, 4 * n):
+        text = " ".join(f"user{i}@mail{i}.example.com" for i in range(k))
+        table = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.time()
+        assert pii.mask(table).first().text == " ".join(["<EMAIL>"] * k)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0]
