@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import math
 from itertools import combinations
 
@@ -236,9 +237,10 @@ def test_centrality_against_brute_force(spark):
     simple = ce.simple_digraph(spark.createDataFrame(EDGES, "source string, target string"))
     ranks = {r.id: r.pagerank for r in ce.pagerank(simple).collect()}
     assert ranks == pytest.approx(brute_pagerank(EDGES), abs=1e-5)
-    for rows in (10**6, 20):
-        got = {r.id: r.betweenness for r in ce.betweenness(simple, rows).collect()}
-        assert got == pytest.approx(brute_betweenness(EDGES))
+    for limits in ({}, {"task_edges": 0}, {"task_edges": 0, "state_rows": 20}):
+        got = ce.betweenness(simple, **limits).collect()
+        assert {r.id: r.betweenness for r in got} == pytest.approx(brute_betweenness(EDGES))
+        assert {(r.sampled, r.error) for r in got} == {(False, 0.0)}
     nodes = spark.createDataFrame(
         [("a", "Entity"), ("alone", "Entity"), ("x", "Document")], "id string, node_type string"
     )
@@ -248,6 +250,26 @@ def test_centrality_against_brute_force(spark):
     assert rows["a"].degree == 4.0
 
 
+def test_sampled_betweenness_keeps_its_bound(spark):
+    rng = random.Random(6)
+    edges = {(f"d{i}", f"gate{rng.randrange(3)}") for i in range(500)} | {(f"gate{k}", "hall") for k in range(3)}
+    edges |= {("hall", f"e{i}") for i in range(400)} | {(f"e{a}", f"e{b}") for a in range(40) for b in rng.sample(range(40), 2) if a != b}
+    edges |= {("alone", "loop"), ("loop", "loop")}
+    simple = spark.createDataFrame(sorted(edges), "source string, target string")
+    exact = {r.id: r.betweenness for r in ce.betweenness(simple).collect()}
+    tables = {r.id: r.betweenness for r in ce.betweenness(simple, task_edges=0).collect()}
+    assert exact == pytest.approx(tables) and max(exact.values()) > 0.2
+    for error in (0.12, 0.2):
+        assert ce.pivots_for(len(exact), error) < len(exact)
+        for limit in (ce.TASK_EDGES, 0):
+            got = ce.betweenness(simple, error=error, task_edges=limit).collect()
+            assert {(r.sampled, r.error) for r in got} == {(True, error)}
+            assert max(abs(r.betweenness - exact[r.id]) for r in got) <= error
+    # where as many sources are needed as there are nodes, the result is exact
+    assert not ce.betweenness(simple, error=0.001).first().sampled
+    assert ce.betweenness(simple.limit(0), error=0.1).collect() == []
+
+
 def test_unicode_blanks_and_word_borders(spark):
     from clausegraph.functions import text as tx
 

@@ -175,7 +175,29 @@ def pagerank(spark, sf_dir):
     "FROM vertices v LEFT JOIN between_all b USING (id)",
 )
 def betweenness(spark, sf_dir):
-    return rounded(ce.betweenness(_simple(spark, sf_dir)), "betweenness", places=9)
+    return rounded(ce.betweenness(_simple(spark, sf_dir)).select("id", "betweenness"), "betweenness", places=9)
+
+
+#: The number of pivots is that of `pivots_for`.
+_ERROR = 0.1
+_PIVOTS = (
+    f"(SELECT ceil(ln(2 * n / {ce.FAILURE}) * (n / (n - 1)) * (n / (n - 1)) / (2 * {_ERROR} * {_ERROR}))::BIGINT FROM n_all)"
+)
+_SAMPLED_SQL = _PATHS_SQL.replace(
+    "FROM vertices)", f"FROM (SELECT id, row_number() OVER (ORDER BY md5(id), id) AS k FROM vertices) WHERE k <= {_PIVOTS})", 1
+)
+
+
+@query(
+    "sampled_betweenness",
+    f"""WITH {_GRAPH}, {_SAMPLED_SQL}
+SELECT v.id, round(coalesce(b.b, 0) * n / (n - 1) / (n - 2) / least(n, {_PIVOTS}), 9) + 0.0 AS betweenness,
+  {_PIVOTS} < n AS sampled, CASE WHEN {_PIVOTS} < n THEN {_ERROR} ELSE 0 END::DOUBLE AS error
+FROM vertices v LEFT JOIN between_all b USING (id), n_all""",
+)
+def sampled_betweenness(spark, sf_dir):
+    """Betweenness within 0.1 of the exact one, from as many sources as that needs."""
+    return rounded(ce.betweenness(_simple(spark, sf_dir), error=_ERROR), "betweenness", places=9)
 
 
 _CENTRAL = f"""WITH RECURSIVE {_GRAPH}, {_DEGREE}, {_RANK_SQL}, {_PATHS_SQL},
