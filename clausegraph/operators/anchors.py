@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausegraph.functions import text as tx
 
 _WS = "' \\t\\r\\n'"
-
-
-# Where a pattern occurs: the gaps between its matches and the matches, added up.  Each array is
-# bound to a name, so that it is made once for an anchor and dropped before the next.
-_PLACES = f"""
-  element_at(transform(
-    array(named_struct('h', regexp_extract_all(markdown, a._pattern, 0), 'g', split(markdown, a._pattern, -1))),
-    f -> element_at(transform(
-      array(transform(f.g, (g, i) -> length(g) + coalesce(length(get(f.h, i)), 0))),
-      steps -> element_at(transform(
-        array({tx.running_totals_sql("steps")}),
-        starts -> transform(f.h, (h, i) -> get(starts, i) + length(get(f.g, i)))), 1)), 1)), 1)"""
+_RUN, _LONG_RUN = re.compile(r"\s+"), re.compile(r"\s{2,}")
 
 
 def in_text_label(number: str) -> str:
@@ -27,49 +21,83 @@ def in_text_label(number: str) -> str:
     return f"coalesce(try_element_at(regexp_extract_all({number}, r'\\([^()]*\\)', 0), -1), {number})"
 
 
+def _places(text: str, phrases: list[str]) -> list[list[int]]:
+    """Where each phrase begins in `text`, across any white space; matches of one phrase don't overlap.
+
+    White space runs become one blank; all phrases are then found in one pass
+    by an automaton over them, so the work is linear in the text, the phrases
+    and the hits.
+    """
+    import ahocorasick
+
+    flat = [" ".join(p.split()) for p in phrases]
+    machine = ahocorasick.Automaton()
+    for phrase in flat:
+        machine.add_word(phrase, phrase)
+    machine.make_automaton()
+    # only longer runs move what follows: their ends in the flat text, and how far
+    ends, moved, total = [], [], 0
+    for run in _LONG_RUN.finditer(text):
+        total += run.end() - run.start() - 1
+        ends.append(run.end() - total)
+        moved.append(total)
+    found: dict[str, list[int]] = {phrase: [] for phrase in flat}
+    free = dict.fromkeys(flat, 0)
+    for last, phrase in machine.iter(_RUN.sub(" ", text)):
+        first = last - len(phrase) + 1
+        if first >= free[phrase]:
+            k = bisect_right(ends, first)
+            found[phrase].append(first + (moved[k - 1] if k else 0))
+            free[phrase] = last + 1
+    return [found[phrase] for phrase in flat]
+
+
+def _labelled(text: str, at: int, label: str | None) -> bool:
+    """Whether `label` stands before `at`, but for white space."""
+    if label is None:
+        return False
+    while at and text[at - 1] in " \n\t\r":
+        at -= 1
+    return at >= len(label) and text.startswith(label, at - len(label))
+
+
+_FOUND = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_hits", "n_labelled", "position")]))
+
+
+@F.pandas_udf(_FOUND)
+def _located(text: pd.Series, phrases: pd.Series, labels: pd.Series) -> pd.Series:
+    def of_document(body, wanted, names):
+        if body is None:
+            return [(0, 0, None)] * len(wanted)
+        out = []
+        for at, name in zip(_places(body, list(wanted)), names):
+            own = at if len(at) < 2 else [p for p in at if _labelled(body, p, name)]
+            out.append((len(at), len(own), own[0] if len(own) == 1 else None))
+        return out
+
+    rows = [of_document(b, w, n) for b, w, n in zip(text, phrases, labels)]
+    return pd.Series([[dict(zip(("n_hits", "n_labelled", "position"), r)) for r in row] for row in rows])
+
+
 def anchor_hits(anchors: DataFrame, documents: DataFrame) -> DataFrame:
     """Anchors with `n_hits`, `n_labelled` and the `position` that places them.
 
     The opening phrase matches across any white space.  One hit places the
     clause; of several, the single one that its own label precedes does.
+    Anchors without a phrase are left out; a document that isn't there, or
+    without text, has no hits.
     """
-    phrase = F.regexp_replace(
-        F.array_join(
-            F.transform(
-                F.split(F.trim(F.regexp_replace("starts_with", f"(?U){tx.ANY_BLANK}+", " ")), " "),
-                lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")),
-            ),
-            f"{tx.ANY_BLANK}+",
-        ),
-        r"^$", "",
-    )
-    phrase = F.concat(F.lit("(?U)"), phrase)
     kept = anchors.columns
-    wanted = (
-        anchors.filter(~tx.is_blank(F.col("starts_with")))
-        .withColumn("_pattern", phrase)
-        .withColumn("_label", F.expr(in_text_label("clause_number")))
-    )
-    # a document's anchors go to its text together, so that the text is there once
+    wanted = anchors.filter(~tx.is_blank(F.col("starts_with"))).withColumn("_label", F.expr(in_text_label("clause_number")))
+    # a document's anchors go to its text together, so that it is read once for all of them
     by_document = wanted.groupBy("document_id").agg(
-        F.collect_list(F.struct(*[F.col(c) for c in kept if c != "document_id"], "_pattern", "_label")).alias("_anchors")
-    )
-    found = tx.once(
-        by_document.join(documents.select("document_id", "markdown"), "document_id", "left"),
-        _places=F.expr(f"coalesce(transform(_anchors, a -> {_PLACES}), array())"),
+        F.collect_list(F.struct(*[F.col(c) for c in kept if c != "document_id"], "_label")).alias("_anchors")
     )
-    labelled = tx.once(
-        found,
-        _own=F.expr(
-            f"""transform(_places, (at, k) -> if(size(at) > 1,
-                  filter(at, p -> endswith(rtrim({_WS}, left(markdown, p)), get(_anchors, k)._label)), at))"""
-        ),
+    found = by_document.join(documents.select("document_id", "markdown"), "document_id", "left").select(
+        "document_id", "_anchors", _located("markdown", "_anchors.starts_with", "_anchors._label").alias("_found")
     )
-    return labelled.select("document_id", F.inline(F.arrays_zip("_anchors", "_places", "_own"))).select(
-        *[F.col("document_id") if c == "document_id" else F.col(f"_anchors.{c}") for c in kept],
-        F.coalesce(F.size("_places"), F.lit(0)).alias("n_hits"),
-        F.size("_own").alias("n_labelled"),
-        F.expr("if(size(_own) = 1, _own[0], cast(null as int))").alias("position"),
+    return found.select("document_id", F.inline(F.arrays_zip("_anchors", "_found"))).select(
+        *[F.col("document_id") if c == "document_id" else F.col(f"_anchors.{c}") for c in kept], "_found.*"
     )
 
 

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 
 from clausegraph.operators import anchors as an
@@ -48,6 +52,46 @@ def test_anchors_place_slice_and_drop(spark, docs):
     }
 
 
+def plain_hits(text, phrase, number):
+    """The rule itself: a regular expression for each phrase, its label before one of several hits."""
+    at = [m.start() for m in re.finditer(r"\s+".join(map(re.escape, phrase.split())), text)]
+    label = (re.findall(r"\([^()]*\)", number) or [number])[-1]
+    own = at if len(at) < 2 else [p for p in at if text[:p].rstrip(" \n\t\r").endswith(label)]
+    return len(at), len(own), own[0] if len(own) == 1 else None
+
+
+def test_many_anchors_of_odd_texts_against_the_rule(spark):
+    rng = random.Random(9)
+    texts, rows = [], []
+    for d in range(30):
+        words = [rng.choice(["aa", "a", "(c)", "(ii)", "8.4", "é🙂", "x.y*", "aaa"]) for _ in range(rng.randrange(0, 80))]
+        text = "".join(w + rng.choice([" ", "  ", "\n", "\t \n", "\u00a0", "\u2003 "]) for w in words)
+        texts.append((str(d), None if d == 29 else text))
+        for k in range(12):
+            at, n = rng.randrange(len(words) + 1), rng.randrange(1, 4)
+            phrase = rng.choice([" ".join(words[at : at + n]), "a", "aa a", "nowhere"])
+            rows.append((str(d), k, rng.choice(["8.4", "8.4(c)", "9(c)(ii)", "aa"]), phrase, None, None))
+    table = spark.createDataFrame(rows, "document_id string, seq int, clause_number string, starts_with string, heading string, parent string")
+    got = an.anchor_hits(table, spark.createDataFrame(texts, "document_id string, markdown string")).collect()
+    body = dict(texts)
+    want = {(d, k): plain_hits(body[d] or "", p, n) for d, k, n, p, _, _ in rows if p.strip()}
+    assert {(r.document_id, r.seq): (r.n_hits, r.n_labelled, r.position) for r in got} == want
+    assert sum(w[1] == 1 < w[0] for w in want.values()) > 5
+
+
+def test_anchors_take_linear_time(spark):
+    took = []
+    for n in (1000, 4000):
+        text = "\n".join(f"8.{i} clause number {i} of the rules is as long as this" for i in range(n))
+        rows = [("d", i, f"8.{i}", f"clause number {i} of", None, None) for i in range(n)]
+        table = spark.createDataFrame(rows, "document_id string, seq int, clause_number string, starts_with string, heading string, parent string")
+        began = time.time()
+        got = an.anchor_hits(table, spark.createDataFrame([("d", text)], "document_id string, markdown string"))
+        assert got.filter("n_hits = 1 and position is not null").count() == n
+        took.append(time.time() - began)
+    assert took[1] < 6 * took[0] + 1
+
+
 CASES = [
     ("[1, 2, 3]", "value", ["1", "2", "3"]),
     ('{"a": 1}', "value", ['{"a": 1}']),

@@ -82,40 +82,55 @@ def reply_shape_violations(spark, sf_dir):
 
 # --- anchors: phrases quoted from each document with single blanks ----------
 
+#: Clause number, opening phrase for Spark and for SQL.  Clauses of one word repeat, and the word before
+#: the first of them is their number, so the label has to tell the hits apart.
 _ANCHOR_SHAPE = (
-    ("1.1", "array_join(slice(w, 1, 4), ' ')", "array_to_string(w[1:4], ' ')"),
-    ("1.2", "array_join(slice(w, 9, 3), ' ')", "array_to_string(w[9:11], ' ')"),
-    ("1.2(a)", "array_join(slice(w, 14, 1), ' ')", "array_to_string(w[14:14], ' ')"),
-    ("1.3", "'no such phrase here'", "'no such phrase here'"),
-    ("1.4", "' '", "' '"),
-    ("1.5", "array_join(slice(w, 30, 4), ' ')", "array_to_string(w[30:33], ' ')"),
+    ("'1.1'", "array_join(slice(w, 1, 4), ' ')", "array_to_string(w[1:4], ' ')"),
+    ("'1.2'", "array_join(slice(w, 9, 3), ' ')", "array_to_string(w[9:11], ' ')"),
+    ("'1.2(a)'", "array_join(slice(w, 14, 1), ' ')", "array_to_string(w[14:14], ' ')"),
+    ("'1.3'", "'no such phrase here'", "'no such phrase here'"),
+    ("'1.4'", "' '", "' '"),
+    ("array_join(slice(w, 20, 1), '')", "array_join(slice(w, 21, 1), ' ')", "array_to_string(w[21:21], ' ')"),
+    ("concat('2', array_join(slice(w, 24, 1), ''))", "array_join(slice(w, 25, 1), ' ')", "array_to_string(w[25:25], ' ')"),
+    ("'1.5'", "array_join(slice(w, 30, 4), ' ')", "array_to_string(w[30:33], ' ')"),
 )
+_ANCHOR_NUMBERS_SQL = {
+    "array_join(slice(w, 20, 1), '')": "array_to_string(w[20:20], '')",
+    "concat('2', array_join(slice(w, 24, 1), ''))": "'2' || array_to_string(w[24:24], '')",
+}
 
 _ANCHOR_ROWS = " UNION ALL ".join(
-    f"SELECT document_id, {i} AS seq, '{n}' AS clause_number, {sql} AS starts_with FROM words"
+    f"SELECT document_id, {i} AS seq, {_ANCHOR_NUMBERS_SQL.get(n, n)} AS clause_number, {sql} AS starts_with FROM words"
     for i, (n, _, sql) in enumerate(_ANCHOR_SHAPE)
 )
+_BLANKS_SQL = "chr(32)||chr(9)||chr(13)||chr(10)"
 _ANCHORS_SQL = rf"""
 words AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '\S+') AS w
           FROM documents),
 anchors AS ({_ANCHOR_ROWS}),
+pattern AS (
+  SELECT a.*, d.text AS markdown, coalesce(list_last(regexp_extract_all(clause_number, '\([^()]*\)')), clause_number) AS label,
+    array_to_string(list_transform(string_split(starts_with, ' '), lambda t: regexp_escape(t)), '\s+') AS p
+  FROM anchors a JOIN documents d ON CAST(d.doc_id AS VARCHAR) = a.document_id WHERE trim(starts_with) <> ''),
 found AS (
-  SELECT a.*, d.text AS markdown, CASE WHEN trim(starts_with) = '' THEN [] ELSE
-    regexp_extract_all(d.text, array_to_string(list_transform(
-      string_split(starts_with, ' '), lambda t: regexp_escape(t)), '\s+')) END AS hits
-  FROM anchors a JOIN documents d ON CAST(d.doc_id AS VARCHAR) = a.document_id),
+  SELECT *, regexp_extract_all(markdown, p) AS h, string_split_regex(markdown, p) AS g FROM pattern),
+places AS (
+  SELECT *, [list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) FOR i IN range(1, len(h) + 1)] AS ps
+  FROM found),
 hits AS (
-  SELECT *, len(hits) AS n_hits,
-    CASE WHEN len(hits) = 1 THEN instr(markdown, hits[1]) - 1 END AS position FROM found),
+  SELECT *, len(ps) AS n_hits, CASE WHEN len(ps) > 1
+    THEN [p FOR p IN ps IF ends_with(rtrim(left(markdown, p::INT), {_BLANKS_SQL}), label)] ELSE ps END AS own,
+    CASE WHEN len(own) = 1 THEN own[1]::INT END AS position FROM places),
 placed AS (
-  SELECT *, lead(position) OVER d AS stop, lead(clause_number) OVER d AS next_number
+  SELECT *, lead(position) OVER d AS stop, lead(label) OVER d AS next_label
   FROM hits WHERE position IS NOT NULL WINDOW d AS (PARTITION BY document_id ORDER BY seq)),
 cut0 AS (
   SELECT *, CASE WHEN stop IS NULL THEN substr(markdown, position + 1)
                  ELSE substr(markdown, position + 1, greatest(stop - position, 0)) END AS raw
   FROM placed),
-cut1 AS (SELECT *, CASE WHEN next_number IS NULL THEN raw ELSE
-           rtrim(raw, chr(32)||chr(9)||chr(13)||chr(10)) END AS t FROM cut0)"""
+cut1 AS (SELECT *, CASE WHEN next_label IS NULL THEN raw ELSE rtrim(raw, {_BLANKS_SQL}) END AS bare,
+           CASE WHEN ends_with(bare, next_label) THEN rtrim(left(bare, length(bare) - length(next_label)), {_BLANKS_SQL})
+                ELSE bare END AS t FROM cut0)"""
 
 
 def _anchors(spark, sf_dir):
@@ -126,7 +141,7 @@ def _anchors(spark, sf_dir):
     shapes = F.array(
         *[
             F.struct(
-                F.lit(i).alias("seq"), F.lit(n).alias("clause_number"),
+                F.lit(i).alias("seq"), F.expr(n).alias("clause_number"),
                 F.expr(e).alias("starts_with"), F.lit(None).cast("string").alias("heading"),
                 F.lit(None).cast("string").alias("parent"),
             )
@@ -138,21 +153,20 @@ def _anchors(spark, sf_dir):
 
 @query(
     "anchor_hits",
-    f"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, n_hits, position FROM hits "
-    "WHERE trim(starts_with) <> ''",
+    f"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, n_hits, len(own) AS n_labelled, position FROM hits",
 )
 def anchor_hits(spark, sf_dir):
     anchors, docs = _anchors(spark, sf_dir)
     return an.anchor_hits(anchors, docs).select(
-        "document_id", "clause_number", "n_hits", "position"
+        "document_id", "clause_number", "n_hits", "n_labelled", "position"
     )
 
 
 @query(
     "dropped_anchors",
-    f"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, starts_with, CASE "
-    "WHEN trim(starts_with) = '' THEN 'empty_starts_with' WHEN n_hits = 0 THEN 'not_found' "
-    "ELSE 'ambiguous' END AS reason FROM hits WHERE position IS NULL",
+    f"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, starts_with, CASE WHEN n_hits = 0 THEN 'not_found' "
+    "ELSE 'ambiguous' END AS reason FROM hits WHERE position IS NULL UNION ALL "
+    "SELECT document_id, clause_number, starts_with, 'empty_starts_with' FROM anchors WHERE trim(starts_with) = ''",
 )
 def dropped_anchors(spark, sf_dir):
     anchors, docs = _anchors(spark, sf_dir)
@@ -162,9 +176,9 @@ def dropped_anchors(spark, sf_dir):
 
 @query(
     "anchored_clauses",
-    rf"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, CASE WHEN next_number IS NOT NULL "
+    rf"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, CASE WHEN next_label IS NOT NULL "
     r"AND regexp_matches(t, '(?:^|\s)[SG]$') THEN rtrim(left(t, length(t) - 1), "
-    "chr(32)||chr(9)||chr(13)||chr(10)) ELSE t END AS text FROM cut1",
+    f"{_BLANKS_SQL}) ELSE t END AS text FROM cut1",
 )
 def anchored_clauses(spark, sf_dir):
     anchors, docs = _anchors(spark, sf_dir)
