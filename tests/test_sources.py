@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from clausegraph import schemas
 from clausegraph.plans.lineage import cut
+from clausegraph.sources import publish as pub
 from clausegraph.sources import readers, sinks
 
 
@@ -27,9 +33,12 @@ def test_documents_are_written_together_or_not_at_all(spark, tmp_path):
     rows = spark.createDataFrame([("a", "text"), ("b", " \n")], "document_id string, markdown string")
     with pytest.raises(sinks.BatchRefused):
         sinks.write_documents(rows, path)
-    assert readers.read_or_empty(spark, path, rows.schema).count() == 0
+    assert pub.published(spark, path, "documents", rows.schema).count() == 0
     sinks.write_documents(rows.filter("document_id = 'a'"), path)
-    assert spark.read.parquet(path).count() == 1
+    with pytest.raises(sinks.BatchRefused):
+        sinks.write_documents(rows, path)
+    assert [r.document_id for r in pub.published(spark, path, "documents").collect()] == ["a"]
+    assert len(list((tmp_path / "docs" / "data").iterdir())) == 1
 
 
 def test_snapshot_guard(spark, tmp_path):
@@ -37,19 +46,19 @@ def test_snapshot_guard(spark, tmp_path):
     head = spark.createDataFrame([("3.2", "analysed"), ("4", "not_analysed")], "number string, state string")
     rows = spark.createDataFrame([("3.2", "analysed", "c1"), ("4", "not_analysed", None)], "number string, state string, id string")
     sinks.write_snapshot(spark, head, rows, path)
-    assert [r.id for r in spark.read.parquet(f"{path}/connections").collect()] == ["c1"]
+    assert [r.id for r in pub.published(spark, path, "connections").collect()] == ["c1"]
     with pytest.raises(sinks.EmptySnapshot):
         sinks.write_snapshot(spark, head.limit(0), rows.limit(0), path)
-    assert spark.read.parquet(f"{path}/paragraphs").count() == 2
+    assert pub.published(spark, path, "paragraphs").count() == 2
     sinks.write_snapshot(spark, head.limit(0), rows.limit(0), path, force=True)
-    assert spark.read.parquet(f"{path}/paragraphs").count() == 0
+    assert pub.published(spark, path, "paragraphs").count() == 0
 
 
 def test_graph_and_rows(spark, tmp_path):
     nodes = spark.createDataFrame([("a",)], "id string")
     edges = spark.createDataFrame([("a", "b", "about", 1.0)], schemas.EDGES)
     sinks.write_graph(nodes, edges, str(tmp_path / "g"))
-    assert spark.read.parquet(str(tmp_path / "g" / "edges")).count() == 1
+    assert pub.published(spark, str(tmp_path / "g"), "edges").first().edge_type == "about"
     sinks.write_rows(edges, str(tmp_path / "e"), "json")
     assert spark.read.schema(schemas.EDGES).json(str(tmp_path / "e")).count() == 1
     drops = spark.createDataFrame([("b", "1"), (None, "2"), ("a", None)], "document_id string, clause_number string")
@@ -59,3 +68,84 @@ def test_graph_and_rows(spark, tmp_path):
 def test_cut_uses_the_named_folder(spark):
     assert cut(spark.range(3)).count() == 3
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def two_tables(spark, n, **second):
+    nodes = spark.range(n).select(F.col("id").cast("string"))
+    edges = spark.range(n).select(F.col("id").cast("string").alias("source"), F.lit("x").alias("target"), F.lit("about").alias("edge_type"))
+    return {"nodes": pub.Table(nodes), "edges": pub.Table(second.get("edges", edges), ("edge_type",), second.get("rules", {}))}
+
+
+def seen(spark, root):
+    return {name: pub.published(spark, root, name).count() for name in ("nodes", "edges")}
+
+
+def test_a_write_that_fails_between_two_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "g")
+    assert pub.current(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        pub.published(spark, root, "nodes")
+    first = pub.publish(spark, root, two_tables(spark, 3))
+    assert first.counts == {"nodes": {"rows": 3}, "edges": {"rows": 3}} and seen(spark, root) == {"nodes": 3, "edges": 3}
+    bad = spark.range(5).select(F.raise_error(F.lit("lost")).cast("string").alias("source"), F.lit("x").alias("target"), F.lit("about").alias("edge_type"))
+    with pytest.raises(Exception, match="lost"):
+        pub.publish(spark, root, two_tables(spark, 5, edges=bad))
+    assert seen(spark, root) == {"nodes": 3, "edges": 3}
+    with pytest.raises(pub.Refused, match="edges.no_loop': 1"):
+        pub.publish(spark, root, two_tables(spark, 5, rules={"no_loop": F.col("source") == "4"}))
+    assert seen(spark, root) == {"nodes": 3, "edges": 3} and len(list((tmp_path / "g" / "data").iterdir())) == 1
+
+    # killed after both tables, before the manifest: nothing is cleaned up
+    def killed(*_):
+        raise SystemExit
+
+    with monkeypatch.context() as patch:
+        patch.setattr(pub, "_commit", killed)
+        patch.setattr(pub, "remove", lambda *_: None)
+        with pytest.raises(SystemExit):
+            pub.publish(spark, root, two_tables(spark, 7))
+    assert seen(spark, root) == {"nodes": 3, "edges": 3} and len(list((tmp_path / "g" / "data").iterdir())) == 2
+    assert pub.publish(spark, root, two_tables(spark, 9)).number == 2 and seen(spark, root) == {"nodes": 9, "edges": 9}
+
+
+KILLED = """
+import os, sys
+sys.path.insert(0, sys.argv[2])
+from pyspark.sql import SparkSession
+from clausegraph.sources import publish as pub
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+write = pub._write
+def second_never(table, path):
+    if path.endswith("edges"):
+        os.kill(os.getpid(), 9)
+    return write(table, path)
+pub._write = second_never
+pub.publish(spark, sys.argv[1], {"nodes": pub.Table(spark.range(8)), "edges": pub.Table(spark.range(8))})
+"""
+
+
+def test_a_killed_process_leaves_the_old_snapshot(spark, tmp_path):
+    root = str(tmp_path / "g")
+    pub.publish(spark, root, two_tables(spark, 2))
+    done = subprocess.run([sys.executable, "-c", KILLED, root, str(Path(pub.__file__).parents[2])], capture_output=True, timeout=120)
+    assert done.returncode == -9
+    assert len(list((tmp_path / "g" / "data").glob("*/nodes"))) == 2
+    assert seen(spark, root) == {"nodes": 2, "edges": 2}
+
+
+def test_of_two_writers_one_fails_and_old_snapshots_are_pruned(spark, tmp_path):
+    root = str(tmp_path / "g")
+    pub.publish(spark, root, two_tables(spark, 1))
+
+    def meanwhile(*_):
+        pub.publish(spark, root, two_tables(spark, 2))
+
+    with pytest.raises(pub.PublishedMeanwhile):
+        pub.publish(spark, root, two_tables(spark, 3), check=meanwhile)
+    assert seen(spark, root) == {"nodes": 2, "edges": 2}
+    for n in (4, 5):
+        pub.publish(spark, root, two_tables(spark, n))
+    old = pub.current(spark, root)
+    assert len(pub.prune(spark, root, keep=2)) == 4 and pub.prune(spark, root) == []
+    assert seen(spark, root) == {"nodes": 5, "edges": 5} and old.read(spark, "nodes").count() == 5
+    assert pub.prune(spark, str(tmp_path / "nothing")) == []
