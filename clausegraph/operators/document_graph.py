@@ -175,10 +175,33 @@ def outgoing(nodes_: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes_.join(out, "id").unionByName(without, allowMissingColumns=True)
 
 
+def kept_policies(manifest: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(policy_id): the policies of the chosen documents."""
+    return manifest.join(chosen, "document_id", "left_semi").select("policy_id").distinct()
+
+
 def subset(declared: DataFrame, manifest: DataFrame, chosen: DataFrame) -> DataFrame:
     """Declared edges whose two policies are both among the chosen documents."""
-    kept = manifest.join(chosen, "document_id", "left_semi").select("policy_id").distinct()
+    kept = kept_policies(manifest, chosen)
     side = lambda c: kept.withColumnRenamed("policy_id", c)
     return declared.join(side("source_policy_id"), "source_policy_id", "left_semi").join(
         side("target_policy_id"), "target_policy_id", "left_semi"
     )
+
+
+def subset_references(references: DataFrame, reference_edges: DataFrame, manifest: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The references and reference edges that a subset keeps.
+
+    A reference edge leads from a policy to (document_id) of a reference; it
+    stays where its policy does, and a reference stays where an edge to it does.
+    """
+    source = kept_policies(manifest, chosen).withColumnRenamed("policy_id", "source_policy_id")
+    edges = reference_edges.join(source, "source_policy_id", "left_semi")
+    return references.join(edges, "document_id", "left_semi"), edges
+
+
+def subset_verdicts(verdicts: DataFrame, references: DataFrame, manifest: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Verdicts whose source document is still there: a version of a kept policy, or a kept reference."""
+    documents = manifest.join(kept_policies(manifest, chosen), "policy_id", "left_semi").select("document_id")
+    there = documents.union(references.select("document_id")).distinct().withColumnRenamed("document_id", "source_document_id")
+    return verdicts.join(there, "source_document_id", "left_semi")

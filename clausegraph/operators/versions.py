@@ -68,6 +68,23 @@ def collisions(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def _winning(claims: DataFrame) -> DataFrame:
+    """(clause_number, policy_seq, n_versions, n_policies) of the winning claims of (policy_seq, clause_number, n_versions).
+
+    The policy's place and its number of versions share one long, so the
+    aggregate keeps two numbers a clause and needs no sort.
+    """
+    packed = F.shiftleft(F.col("policy_seq").cast("long"), 32) + F.col("n_versions")
+    return (
+        claims.groupBy("clause_number")
+        .agg(F.max(packed).alias("_w"), F.count("*").alias("n_policies"))
+        .select(
+            "clause_number", F.shiftright("_w", 32).cast("int").alias("policy_seq"),
+            F.col("_w").bitwiseAND((1 << 32) - 1).alias("n_versions"), "n_policies",
+        )
+    )
+
+
 def winners(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
     """(clause_number, policy_id, document_id, n_superseded, n_policies).
 
@@ -75,38 +92,31 @@ def winners(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
     n_policies > 1 reports it.
     """
     won = _claims(clause_versions, manifest).filter("document_id is not null")
-    row = F.struct("policy_id", "document_id", (F.col("n_versions") - 1).alias("n_superseded"))
-    return (
-        won.groupBy("clause_number")
-        .agg(F.max_by(row, "policy_seq").alias("_w"), F.count("*").alias("n_policies"))
-        .select("clause_number", "_w.*", "n_policies")
+    return won.join(_winning(won).drop("n_versions"), ["clause_number", "policy_seq"]).select(
+        "clause_number", "policy_id", "document_id", (F.col("n_versions") - 1).alias("n_superseded"), "n_policies"
     )
 
 
 def primary_index(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
     """The current row of each clause number, with n_superseded.
 
-    One pass over the clauses: versions of a clause combine on the map side,
-    so a clause that very many documents share moves as one row per task.
+    Winners are found on keys alone, in hash aggregates of numbers that combine
+    on the map side; texts are joined to them once and never sorted for it.
+    `clause_versions` is read twice, so give it as a stored table.  A document
+    has a clause number once, as `segmented_clauses` sees to.
     """
-    rest = [c for c in clause_versions.columns if c not in ("policy_id", "clause_number")]
     current = current_documents(manifest)
     is_current = F.col("document_id") == F.col("current_document_id")
-    per_policy = (
-        clause_versions.join(current, "policy_id")
-        .groupBy("policy_id", "policy_seq", "clause_number")
-        .agg(
-            F.count("*").alias("_n"),
-            F.max(is_current).alias("_has_current"),
-            F.max_by(F.struct(*rest), is_current).alias("_row"),
-        )
-        .filter(F.col("_has_current") | (F.col("_n") == 1))
-    )
-    row = F.struct("policy_id", (F.col("_n") - 1).alias("n_superseded"), "_row")
-    return (
-        per_policy.groupBy("clause_number")
-        .agg(F.max_by(row, "policy_seq").alias("_w"))
-        .select("clause_number", "_w.policy_id", "_w._row.*", "_w.n_superseded")
+    claims = (
+        clause_versions.select("policy_id", "clause_number", "document_id").join(current, "policy_id")
+        .groupBy("policy_seq", "clause_number")
+        .agg(F.count("*").alias("n_versions"), F.max(is_current).alias("_has_current"))
+        .filter(F.col("_has_current") | (F.col("n_versions") == 1))
+    )
+    won = clause_versions.join(current, "policy_id").join(_winning(claims).drop("n_policies"), ["clause_number", "policy_seq"])
+    rest = [c for c in clause_versions.columns if c not in ("policy_id", "clause_number")]
+    return won.filter(is_current | (F.col("n_versions") == 1)).select(
+        "clause_number", "policy_id", *rest, (F.col("n_versions") - 1).alias("n_superseded")
     )
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch(spark: SparkSession) -> str:
     """The checkpoint folder, set up if it is not yet.
 
     The folder is the one the session names in spark.checkpoint.dir, which on
@@ -27,13 +28,13 @@ def _folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and go on from there."""
-    _folder(df.sparkSession)
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet into a new folder, `name` and a number, of the checkpoint folder and read it back."""
-    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -53,7 +54,7 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def step(self, df: DataFrame) -> DataFrame:
@@ -63,3 +64,31 @@ class Rounds:
             remove(self.spark, f"{self.folder}/{self.n - 1}")
         self.n += 1
         return self.spark.read.schema(df.schema).parquet(path)
+
+
+class Staged:
+    """A plan of named stages whose results are stored, so that a run that failed goes on where it stopped.
+
+    A stage's table lies under the run's name in the checkpoint folder, or in
+    `root`; the mark that Spark's writers leave last tells that it is whole.
+    A stage that is whole is read, whatever its builder would do now, so a run
+    belongs to one state of its inputs; `finish` removes it.
+    """
+
+    def __init__(self, spark: SparkSession, run: str, root: str | None = None):
+        self.spark = spark
+        self.folder = f"{root or scratch(spark)}/{run}"
+
+    def _whole(self, path: str) -> bool:
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if not self._whole(path):
+            # what a killed write left behind is written over
+            build().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def finish(self) -> None:
+        remove(self.spark, self.folder)

@@ -207,3 +207,56 @@ def test_read_model(spark, index):
     asked = spark.createDataFrame([("9.9",), ("4",)], "number string")
     miss = {r.number: r.state for r in rm.requested_paragraphs(asked, rm.paragraph_index(heads, verdicts, nodes)).collect()}
     assert miss == {"9.9": "not_analysed", "4": "analysed"}
+
+
+def one_clause_a_line(documents):
+    """A segmenter other than the default: each line is a clause, numbered by its place."""
+    rows = documents.select("*", F.posexplode(F.split("markdown", "\n")).alias("_i", "text"))
+    return rows.filter("text <> ''").select(
+        "document_id", "policy_id", F.concat_ws(" ", "short_name", (F.col("_i") + 1).cast("string")).alias("clause_number"),
+        (F.col("_i") + 1).alias("clause_seq"), "text", F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("parent"), "source",
+    )
+
+
+def test_another_segmenter_through_the_whole_plan(spark, tmp_path):
+    from clausegraph.plans import build as bd
+    from clausegraph.plans.lineage import Staged
+
+    schema = "document_id string, policy_id string, short_name string, source string, version_seq int, markdown string"
+    docs = spark.createDataFrame([("d1", "p", "P", "s", 1, "old\n"), ("d2", "p", "P", "s", 2, "new\nline two\n"), ("d3", "q", "Q", "s", 3, "other")], schema)
+    references = spark.createDataFrame([("r", "ref", 1, "A1", "h", "passage", None)], "document_id string, policy_id string, seq int, anchor string, heading string, passage string, passages array<struct<anchor:string,heading:string,passage:string>>")
+    names = spark.createDataFrame([("ref", "Ref")], "policy_id string, short_name string")
+    calls = []
+
+    def connections(clauses):
+        none = F.lit(None).cast("string")
+        return clauses.select(
+            F.concat_ws(":", "document_id", "clause_seq").alias("id"), F.col("clause_seq").alias("record_seq"), F.lit("1").alias("paragraph"), none.alias("branch"),
+            F.col("document_id").alias("source_document_id"), F.when(F.col("text") != "other", "Gap").alias("verdict"), F.lit(0.9).alias("confidence_score"),
+            none.alias("scope_note"), F.lit(False).alias("gap_deviates_ambiguous"), none.alias("rationale"), "clause_number", F.lit("verified").alias("verification"),
+            none.alias("stance"), none.alias("status"), none.alias("reason"),
+        )
+
+    def documents():
+        calls.append(1)
+        return docs
+
+    for _ in range(2):
+        run = Staged(spark, "plan", str(tmp_path))
+        rows = bd.staged_verdicts(run, documents, docs.select("document_id", "policy_id", "version_seq"), references, names, connections, one_clause_a_line)
+        assert {(r.id, r.clause_number, r.verdict, r.confidence) for r in rows.collect()} == {
+            ("d1:1", "P 1", "Gap", "High"), ("d2:1", "P 1", "Gap", "High"), ("d2:2", "P 2", "Gap", "High"),
+        }
+    assert len(calls) == 1
+    index = bd.clause_index(one_clause_a_line(docs), docs.select("document_id", "policy_id", "version_seq"), references, names)
+    assert {(r.clause_number, r.text) for r in index.collect()} == {("P 1", "new"), ("P 2", "line two"), ("Q 1", "other"), ("Ref A1", "passage")}
+
+
+def test_winners_are_found_without_sorting_texts(spark, tmp_path):
+    rows = [("p", "d1", "P 1", "a"), ("p", "d2", "P 1", "b"), ("q", "d3", "P 1", "c"), ("q", "d3", "Q 9", "d"), ("p", "d1", "P 3", "gone"), ("p", "d0", "P 3", "gone")]
+    clauses = spark.createDataFrame(rows, "policy_id string, document_id string, clause_number string, text string")
+    manifest = spark.createDataFrame([("d0", "p", -2), ("d1", "p", 1), ("d2", "p", 2), ("d3", "q", 3)], "document_id string, policy_id string, version_seq int")
+    index = vs.primary_index(clauses, manifest)
+    assert {tuple(r) for r in index.select("clause_number", "policy_id", "document_id", "text", "n_superseded").collect()} == {("P 1", "q", "d3", "c", 0), ("Q 9", "q", "d3", "d", 0)}
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan.replace("max_by(document_id", "") or all("text" not in line for line in plan.splitlines() if "SortAggregate" in line)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausegraph import schemas
-from clausegraph.plans.lineage import cut
+from clausegraph.plans.lineage import Staged, cut
 from clausegraph.sources import publish as pub
 from clausegraph.sources import readers, sinks
 
@@ -149,3 +149,25 @@ def test_of_two_writers_one_fails_and_old_snapshots_are_pruned(spark, tmp_path):
     assert len(pub.prune(spark, root, keep=2)) == 4 and pub.prune(spark, root) == []
     assert seen(spark, root) == {"nodes": 5, "edges": 5} and old.read(spark, "nodes").count() == 5
     assert pub.prune(spark, str(tmp_path / "nothing")) == []
+
+
+def test_a_staged_run_goes_on_where_it_stopped(spark, tmp_path):
+    made = []
+
+    def build(name, rows, fail=False):
+        def made_now():
+            made.append(name)
+            return rows.withColumn("x", F.raise_error(F.lit("lost")).cast("int")) if fail else rows
+
+        return made_now
+
+    run = Staged(spark, "run", str(tmp_path))
+    run.stage("one", build("one", spark.range(3)))
+    with pytest.raises(Exception, match="lost"):
+        run.stage("two", build("two", spark.range(4), fail=True))
+    again = Staged(spark, "run", str(tmp_path))
+    assert again.stage("one", build("one", spark.range(9))).count() == 3
+    assert again.stage("two", build("two", spark.range(4))).count() == 4
+    assert made == ["one", "two", "two"]
+    again.finish()
+    assert not (tmp_path / "run").exists()

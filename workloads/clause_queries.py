@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clausegraph.operators import segment as sg
@@ -70,7 +72,7 @@ from clausegraph.operators import document_graph as dg  # noqa: E402
 from clausegraph.operators import quality as ql  # noqa: E402
 from clausegraph.operators import versions as vs  # noqa: E402
 from clausegraph.plans import build as bd  # noqa: E402
-from clausegraph.plans.lineage import cut  # noqa: E402
+from clausegraph.plans.lineage import Staged, stored  # noqa: E402
 
 _MANIFEST = """
 man AS (SELECT 'd' || doc_id AS document_id, source AS policy_id, doc_id AS version_seq FROM documents),
@@ -135,7 +137,8 @@ def lineage_edges(spark, sf_dir):
     "AND m.clause_number = c.clause_number AND m.winner = c.document_id",
 )
 def primary_index(spark, sf_dir):
-    rows = vs.primary_index(ci.clauses(spark, sf_dir), ci.manifest(spark, sf_dir))
+    clauses = stored(ci.clauses(spark, sf_dir), "clauses")
+    rows = vs.primary_index(clauses, ci.manifest(spark, sf_dir))
     return rows.select(
         "clause_number", "policy_id", "document_id", "text", "heading", "parent", "clause_seq",
         "n_superseded",
@@ -322,23 +325,58 @@ ref AS (SELECT DISTINCT 'Ref A' || (item_id // 3) AS clause_number FROM benchmar
 idx AS (SELECT clause_number FROM claims WHERE winner IS NOT NULL UNION SELECT clause_number FROM ref)
 SELECT DISTINCT document_id || ':' || clause_seq AS candidate_id,
   clause_number IN (SELECT clause_number FROM idx)
-    AND 'Ref A' || (clause_seq % 20) IN (SELECT clause_number FROM idx) AS supported
+    AND 'Ref A' || (clause_seq % (SELECT count(*) + 1 FROM ref)) IN (SELECT clause_number FROM idx) AS supported
 FROM clauses""",
 )
 def built_citations(spark, sf_dir):
-    """Documents to clauses to index, and every clause citing itself and a reference."""
-    versions = cut(bd.clause_versions(ci.policies(spark, sf_dir)))
+    """Documents to clauses to index, and every clause citing itself and a reference, or one past the last."""
+    versions = stored(bd.clause_versions(ci.policies(spark, sf_dir)), "built-clauses")
+    later = vs.reference_clauses(_references(spark, sf_dir), _reference_names(spark)).select("clause_number").distinct()
+    n = later.agg(F.count("*") + 1).scalar()
     index = bd.clause_index(
         versions, ci.manifest(spark, sf_dir), _references(spark, sf_dir), _reference_names(spark)
     )
     candidates = versions.select(
         F.concat_ws(":", "document_id", "clause_seq").alias("candidate_id"),
         F.array("clause_number").alias("source_clauses"),
-        F.array(F.concat(F.lit("Ref A"), F.col("clause_seq") % 20)).alias("target_clauses"),
+        F.array(F.concat(F.lit("Ref A"), F.col("clause_seq") % n)).alias("target_clauses"),
     )
     return bd.checked_candidates(candidates, index)
 
 
+def _built_connections(clauses):
+    """A connection of every clause to itself, some without a verdict."""
+    n = F.length("text")
+    none = F.lit(None).cast("string")
+    return clauses.select(
+        F.concat_ws(":", "document_id", "clause_seq").alias("id"), F.col("clause_seq").alias("record_seq"),
+        F.concat(F.lit("1."), F.col("clause_seq")).alias("paragraph"), none.alias("branch"), F.col("document_id").alias("source_document_id"),
+        F.when(n % 3 == 0, "Gap").when(n % 3 == 1, "Conflict").alias("verdict"), (n % 100 / 100).alias("confidence_score"),
+        none.alias("scope_note"), F.lit(False).alias("gap_deviates_ambiguous"), none.alias("rationale"), "clause_number",
+        F.lit("verified").alias("verification"), none.alias("stance"), none.alias("status"), none.alias("reason"),
+    )
+
+
+@query(
+    "built_verdicts",
+    f"""WITH RECURSIVE {_MERGE},
+ref AS (SELECT DISTINCT 'Ref A' || (item_id // 3) AS clause_number FROM benchmark WHERE item_id % 3 < 2
+        UNION SELECT 'Ref Z' || item_id FROM benchmark WHERE item_id % 3 = 1),
+idx AS (SELECT clause_number FROM claims WHERE winner IS NOT NULL UNION SELECT clause_number FROM ref)
+SELECT document_id || ':' || clause_seq AS id, '1.' || clause_seq AS paragraph, clause_number,
+  CASE length(text) % 3 WHEN 0 THEN 'Gap' ELSE 'Conflict' END AS verdict,
+  CASE WHEN length(text) % 100 < 70 THEN 'Low' WHEN length(text) % 100 < 85 THEN 'Medium' ELSE 'High' END AS confidence
+FROM clauses WHERE length(text) % 3 < 2 AND clause_number IN (SELECT clause_number FROM idx)""",
+)
+def built_verdicts(spark, sf_dir):
+    """Documents to clauses, index and gated verdicts, as a staged run that segments each document once."""
+    rows = bd.staged_verdicts(
+        Staged(spark, f"built-verdicts-{uuid.uuid4().hex}"), lambda: ci.policies(spark, sf_dir), ci.manifest(spark, sf_dir),
+        _references(spark, sf_dir), _reference_names(spark), _built_connections,
+    )
+    return rows.select("id", "paragraph", "clause_number", "verdict", "confidence")
+
+
 @query(
     "clauses_not_verbatim",
     f"WITH RECURSIVE {ci.CLAUSES_CTE} SELECT document_id, clause_number FROM clauses WHERE clause_seq % 7 = 3",

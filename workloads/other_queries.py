@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from clausegraph.domains import ENTITY_CLASSES
 from clausegraph.functions import text as tx
 from clausegraph.operators import anchors as an
+from clausegraph.operators.segment import orphaned_clauses
+from clausegraph.plans import build as bd
 from clausegraph.operators import chunks as ch
 from clausegraph.operators import citations as ct
 from clausegraph.operators import quality as ql
@@ -100,12 +102,12 @@ _ANCHOR_NUMBERS_SQL = {
 }
 
 _ANCHOR_ROWS = " UNION ALL ".join(
-    f"SELECT document_id, {i} AS seq, {_ANCHOR_NUMBERS_SQL.get(n, n)} AS clause_number, {sql} AS starts_with FROM words"
+    f"SELECT document_id, {i} AS seq, {_ANCHOR_NUMBERS_SQL.get(n, n)} AS clause_number, {sql} AS starts_with FROM anchor_words"
     for i, (n, _, sql) in enumerate(_ANCHOR_SHAPE)
 )
 _BLANKS_SQL = "chr(32)||chr(9)||chr(13)||chr(10)"
 _ANCHORS_SQL = rf"""
-words AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '\S+') AS w
+anchor_words AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, regexp_extract_all(text, '\S+') AS w
           FROM documents),
 anchors AS ({_ANCHOR_ROWS}),
 pattern AS (
@@ -124,13 +126,13 @@ hits AS (
 placed AS (
   SELECT *, lead(position) OVER d AS stop, lead(label) OVER d AS next_label
   FROM hits WHERE position IS NOT NULL WINDOW d AS (PARTITION BY document_id ORDER BY seq)),
-cut0 AS (
+sliced0 AS (
   SELECT *, CASE WHEN stop IS NULL THEN substr(markdown, position + 1)
                  ELSE substr(markdown, position + 1, greatest(stop - position, 0)) END AS raw
   FROM placed),
-cut1 AS (SELECT *, CASE WHEN next_label IS NULL THEN raw ELSE rtrim(raw, {_BLANKS_SQL}) END AS bare,
+sliced1 AS (SELECT *, CASE WHEN next_label IS NULL THEN raw ELSE rtrim(raw, {_BLANKS_SQL}) END AS bare,
            CASE WHEN ends_with(bare, next_label) THEN rtrim(left(bare, length(bare) - length(next_label)), {_BLANKS_SQL})
-                ELSE bare END AS t FROM cut0)"""
+                ELSE bare END AS t FROM sliced0)"""
 
 
 def _anchors(spark, sf_dir):
@@ -178,7 +180,7 @@ def dropped_anchors(spark, sf_dir):
     "anchored_clauses",
     rf"WITH {_ANCHORS_SQL} SELECT document_id, clause_number, CASE WHEN next_label IS NOT NULL "
     r"AND regexp_matches(t, '(?:^|\s)[SG]$') THEN rtrim(left(t, length(t) - 1), "
-    f"{_BLANKS_SQL}) ELSE t END AS text FROM cut1",
+    f"{_BLANKS_SQL}) ELSE t END AS text FROM sliced1",
 )
 def anchored_clauses(spark, sf_dir):
     anchors, docs = _anchors(spark, sf_dir)
@@ -369,15 +371,17 @@ def undefined_classes(spark, sf_dir):
 
 @query(
     "drop_report",
-    f"""WITH RECURSIVE {ci.CLAUSES_CTE} SELECT w.document_id,
+    f"""WITH RECURSIVE {ci.CLAUSES_CTE}, {_ANCHORS_SQL} SELECT w.document_id,
   w.short_name || ' ' || w.bare AS clause_number,
   'orphaned_parent:' || w.short_name || ' ' || w.parent AS reason
 FROM slices w LEFT JOIN defined d ON d.document_id = w.document_id AND d.bare = w.parent
-WHERE w.parent IS NOT NULL AND d.bare IS NULL""",
+WHERE w.parent IS NOT NULL AND d.bare IS NULL
+UNION ALL SELECT document_id, clause_number, CASE WHEN n_hits = 0 THEN 'not_found' ELSE 'ambiguous' END FROM hits WHERE position IS NULL
+UNION ALL SELECT document_id, clause_number, 'empty_starts_with' FROM anchors WHERE trim(starts_with) = ''""",
 )
 def drop_report(spark, sf_dir):
-    from clausegraph.operators.segment import orphaned_clauses
-    from clausegraph.sources.sinks import sorted_drops
-
-    rows = sorted_drops(orphaned_clauses(ci.policies(spark, sf_dir)))
+    """Orphaned clauses and lost anchors in one report."""
+    anchors, docs = _anchors(spark, sf_dir)
+    lost = an.dropped_anchors(anchors, an.anchor_hits(anchors, docs))
+    rows = bd.drop_report(orphaned_clauses(ci.policies(spark, sf_dir)), lost)
     return rows.select("document_id", "clause_number", "reason")

@@ -681,6 +681,48 @@ def subset_edges(spark, sf_dir):
     )
 
 
+#: References by key, edges to them from policies, and verdicts of versions and of references.
+_REFERENCE = "SELECT DISTINCT concat('ref', CAST(c_nationkey AS STRING)) AS document_id FROM {customer}"
+_REFERENCE_EDGES = """
+SELECT DISTINCT concat('pol', CAST(s_nationkey % 6 AS STRING)) AS source_policy_id,
+       concat('ref', CAST(s_suppkey % 25 AS STRING)) AS document_id FROM {supplier} WHERE s_suppkey % 5 < 2"""
+_SOURCED = """
+SELECT CAST(o_orderkey AS STRING) AS id,
+       CASE WHEN o_orderkey % 2 = 0 THEN concat('n', CAST(o_custkey % 30 AS STRING))
+            ELSE concat('ref', CAST(o_custkey % 25 AS STRING)) END AS source_document_id FROM {orders}"""
+_SUBSET = f"""WITH {ri.cte(man=ri.MANIFEST, ref=_REFERENCE, red=_REFERENCE_EDGES, ver=_SOURCED)},
+kept AS (SELECT DISTINCT policy_id FROM man WHERE version_seq % 9 = 0),
+rkept AS (SELECT * FROM red WHERE source_policy_id IN (SELECT policy_id FROM kept)),
+there AS (SELECT document_id FROM ref WHERE document_id IN (SELECT document_id FROM rkept))"""
+
+
+def _subset_references(spark, sf_dir):
+    manifest = ri.derived(spark, sf_dir, ri.MANIFEST)
+    chosen = manifest.filter("version_seq % 9 = 0").select("document_id")
+    references, edges = (ri.derived(spark, sf_dir, t) for t in (_REFERENCE, _REFERENCE_EDGES))
+    return manifest, chosen, *dg.subset_references(references, edges, manifest, chosen)
+
+
+@query("subset_references", f"{_SUBSET} SELECT document_id FROM there")
+def subset_references(spark, sf_dir):
+    return _subset_references(spark, sf_dir)[2]
+
+
+@query("subset_reference_edges", f"{_SUBSET} SELECT source_policy_id, document_id FROM rkept")
+def subset_reference_edges(spark, sf_dir):
+    return _subset_references(spark, sf_dir)[3].select("source_policy_id", "document_id")
+
+
+@query(
+    "subset_verdicts",
+    f"{_SUBSET} SELECT id, source_document_id FROM ver WHERE source_document_id IN (SELECT document_id FROM there "
+    "UNION ALL SELECT document_id FROM man WHERE policy_id IN (SELECT policy_id FROM kept))",
+)
+def subset_verdicts(spark, sf_dir):
+    manifest, chosen, references, _ = _subset_references(spark, sf_dir)
+    return dg.subset_verdicts(ri.derived(spark, sf_dir, _SOURCED), references, manifest, chosen).select("id", "source_document_id")
+
+
 @query(
     "clause_lookup",
     f"WITH {ri.cte(idx=ri.PART_CLAUSES)}, req AS (SELECT DISTINCT 'P ' || l_partkey || '(a)' AS "
