@@ -1,4 +1,9 @@
-"""A corpus pipeline from five of the operators; each stage works on what the one before kept."""
+"""A corpus pipeline from five of the operators; each stage works on what the one before kept.
+
+Stages judge rows, not ids: repeated rows and null ids are safe, a null text
+counts as an empty one and stays null, other columns pass unchanged whatever
+their names, and an empty table goes through every stage as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -16,27 +21,30 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without labels of both kinds all have one score."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest id."""
+    """One document of each group of near-duplicates stays: that of the smallest id; texts without words are in no group."""
     return jaccard_join.keep_one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go; items without words contaminate nothing, those without an id do."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; `n_chars` follows the text."""
-    return pii.mask(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """Personal data in the texts is replaced by its kind; `n_chars`, if it is there, follows the text."""
+    out = pii.mask(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, and digests of these and of what they decode to."""
+    """Digests of the texts' token ids and of what they decode to; a null text has no tokens."""
     coded = byte_bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
