@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.llm.ordered import running_totals
-from clausegraph.plans.lineage import cut
+from clausegraph.plans.lineage import Rounds, cut
 
 SHARDS = 16
 ROUNDS = 24
@@ -36,8 +36,14 @@ def _chance(*key: str) -> Column:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """(row, hub, shard): where the linked rows of (row, hub) come to rest."""
-    state = cut(linked.select("row", "hub", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
+    """(row, hub, shard): where the linked rows of (row, hub) come to rest.
+
+    A round's state is read back from its file, not from a checkpoint, whose
+    size estimate is the product of the joins before it and, being an exact
+    integer, would grow until planning a round takes forever.
+    """
+    kept = Rounds(linked.sparkSession, "shards")
+    state = kept.step(linked.select("row", "hub", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         room = [max(capacity - load.get(s, 0), 0) for s in range(shards)]
@@ -63,7 +69,7 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUND
         moves = F.coalesce(
             F.array_contains("sources", F.col("shard")) & (chance < _lookup(accept, F.col("target"))), F.lit(False)
         )
-        state = cut(
+        state = kept.step(
             state.join(wishes, "hub", "left")
             .withColumn("_step", F.lit(step))
             .select("row", "hub", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard"))
