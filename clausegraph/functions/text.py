@@ -61,25 +61,24 @@ def running_totals(lengths: str) -> Column:
 def running_totals_sql(lengths: str) -> str:
     """The same as SQL, for use on a lambda's variable.
 
-    Folding in blocks keeps the array copies near n * sqrt(n) where a plain
-    append fold would make n * n.
+    A fold copies what it has gathered at every step, so a plain one would make
+    n * n copies.  Here blocks are folded on their own, each from the total
+    before it, which a fold of the block totals gives.
     """
     fold = """
         aggregate({xs},
           named_struct('at', {first}, 'out', cast(array() as array<int>)),
           (q, x) -> named_struct('at', q.at + x, 'out', array_append(q.out, q.at)),
           q -> q.out)"""
+    numbers = f"sequence(0, int((size({lengths}) - 1) div {_BLOCK}))"
+    block = f"slice({lengths}, b * {_BLOCK} + 1, {_BLOCK})"
+    totals = f"transform({numbers}, b -> aggregate({block}, 0, (s, x) -> s + x))"
+    # the one-element array binds the blocks' starts to a variable, so that they are found once
     return f"""
         if(size({lengths}) <= {_BLOCK},
            {fold.format(xs=lengths, first=0)},
-           flatten(aggregate(
-             transform(sequence(0, int((size({lengths}) - 1) div {_BLOCK})),
-                       b -> slice({lengths}, b * {_BLOCK} + 1, {_BLOCK})),
-             named_struct('total', 0, 'done', cast(array() as array<array<int>>)),
-             (acc, block) -> named_struct(
-               'total', acc.total + aggregate(block, 0, (s, x) -> s + x),
-               'done', array_append(acc.done, {fold.format(xs="block", first="acc.total")})),
-             acc -> acc.done)))
+           get(transform(array({fold.format(xs=totals, first=0)}), starts ->
+             flatten(transform({numbers}, b -> {fold.format(xs=block, first="get(starts, b)")}))), 0))
     """
 
 

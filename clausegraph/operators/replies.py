@@ -5,9 +5,11 @@ that are each a JSON value, else when arrays can be found in it.  Anything
 else is an error row; nothing is half read.  Items are the text as it stands.
 
 All of it is array work inside the row.  The text is cut into tokens (strings,
-brackets, commas, the rest); running depths give every opening bracket its
-level, and sorting brackets by level puts each beside the one that closes it.
-Work grows with the length of the text, not with what fails to parse.
+brackets, commas, the rest); running depths give every token its level, and
+sorting by level puts what a bracket holds itself between its two ends, with an
+empty array for each value in it.  That alone is parsed, so every token is read
+once whatever the depth; a pair is a value if all brackets in it hold sound text.
+Work grows with the length of the text, not with its depth or what fails to parse.
 """
 
 from __future__ import annotations
@@ -56,31 +58,56 @@ def _with_arrays(df: DataFrame, text: Column, out: str) -> DataFrame:
         cut, _step=F.expr("transform(_tok, t -> case when t in ('[', '{') then 1 when t in (']', '}') then -1 else 0 end)")
     )
     deep = once(stepped, _depth=running_totals("_step"))
-    # openings at their level, closings at the level of what they close
+    # the tokens of each level together, a bracketed value one level up as an empty one: what a bracket
+    # holds itself lies between its two ends
     levelled = once(
         deep,
-        _ends=F.expr("""
-          array_sort(filter(
-            transform(_tok, (t, i) -> named_struct(
-              'level', get(_depth, i) + if(get(_step, i) < 0, -1, 0), 'at', i, 'step', get(_step, i), 'sign', t)),
-            e -> e.step <> 0))"""),
+        _rows=F.expr("""
+          array_sort(flatten(transform(_tok, (t, i) -> case get(_step, i)
+            when 1 then array(named_struct('level', get(_depth, i), 'at', i, 'step', 0, 'tok', '[]'),
+                              named_struct('level', get(_depth, i) + 1, 'at', i, 'step', 1, 'tok', t))
+            else array(named_struct('level', get(_depth, i), 'at', i, 'step', get(_step, i), 'tok', t)) end)))"""),
     )
-    paired = once(
+    ends = once(
         levelled,
-        _pairs=F.expr(f"""
-          if(exists(_depth, d -> d > {DEEPEST}), cast(array() as array<struct<first:int,last:int,level:int>>),
-            transform(
-              filter(
-                transform(_ends, (e, i) -> named_struct('open', e, 'close', get(_ends, i + 1))),
-                p -> p.open.step = 1 and p.close.step = -1 and p.open.level = p.close.level
-                     and (p.open.sign = '[') = (p.close.sign = ']')),
-              p -> named_struct('first', p.open.at, 'last', p.close.at, 'level', p.open.level)))"""),
+        _ends=F.expr(f"""
+          if(exists(_depth, d -> d > {DEEPEST}), cast(array() as array<struct<row:int,level:int,at:int,step:int,tok:string>>),
+            filter(transform(_rows, (r, k) -> named_struct('row', k, 'level', r.level, 'at', r.at, 'step', r.step, 'tok', r.tok)),
+                   r -> r.step <> 0))"""),
     )
-    valid = once(
+    paired = once(
+        ends,
+        _pairs=F.expr("""
+          filter(
+            transform(_ends, (e, i) -> named_struct('open', e, 'close', get(_ends, i + 1))),
+            p -> p.open.step = 1 and p.close.step = -1 and p.open.level = p.close.level
+                 and (p.open.tok = '[') = (p.close.tok = ']'))"""),
+    )
+    held = "array_join(transform(slice(_rows, p.open.row + 1, p.close.row - p.open.row + 1), r -> r.tok), '')"
+    sound = once(
         paired,
-        _valid=F.expr(
-            f"filter(_pairs, p -> {is_json('array_join(slice(_tok, p.first + 1, p.last - p.first + 1), ' + repr('') + ')')})"
-        ),
+        _sound=F.expr(f"""
+          transform(filter(_pairs, p -> {is_json(held)}),
+                    p -> named_struct('first', p.open.at, 'last', p.close.at, 'level', p.open.level - 1))"""),
+    )
+    # a pair is a value if every bracket in it belongs to a sound pair: as many ends as brackets
+    placed = once(
+        sound,
+        _placed=F.expr("""
+          array_sort(transform(
+            array_sort(flatten(transform(_sound, p -> array(
+              named_struct('at', p.first, 'pair', p), named_struct('at', p.last, 'pair', p))))),
+            (e, k) -> named_struct('pair', e.pair, 'rank', k)))"""),
+        _brackets=F.expr("transform(_step, s -> abs(s))"),
+    )
+    valid = once(
+        once(placed, _before=running_totals("_brackets")),
+        _valid=F.expr("""
+          transform(
+            filter(
+              transform(_placed, (e, i) -> named_struct('pair', e.pair, 'from', e.rank, 'to', get(_placed, i + 1).rank, 'i', i)),
+              v -> v.i % 2 = 0 and v.to - v.from = get(_before, v.pair.last) - get(_before, v.pair.first)),
+            v -> v.pair)"""),
     )
     # a valid value is outermost where no other one is open
     marked = once(
@@ -114,7 +141,7 @@ def _with_arrays(df: DataFrame, text: Column, out: str) -> DataFrame:
           trim(both {_BLANK} from array_join(slice(_tok, get(c, k) + 2, to - get(c, k) - 1), ''))),
         item -> item <> ''))))""")
     made = once(split, **{out: items, f"{out}_any": F.size("_valid") > 0})
-    return made.drop("_tok", "_step", "_depth", "_ends", "_pairs", "_valid", "_marks", "_moves", "_open", "_outer", "_cuts")
+    return made.drop("_tok", "_step", "_depth", "_rows", "_ends", "_pairs", "_sound", "_placed", "_brackets", "_before", "_valid", "_marks", "_moves", "_open", "_outer", "_cuts")
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:

@@ -142,6 +142,29 @@ def test_deep_arrays(spark):
         assert got[n] == (("value", True, ["1", deep(n - 1)]) if n <= 999 else ("error", None, None)), n
 
 
+def test_depth_costs_nothing(spark):
+    took = {}
+    for n in (9, 900):
+        deep = "[1, " * (n - 1) + "[2]" + "]" * (n - 1)
+        inner = [deep] * (60_000 // len(deep))
+        raw = spark.createDataFrame([("a", "[" + ", ".join(inner) + "]")], "reply_id string, raw string")
+        began = time.time()
+        row = rp.parsed_replies(raw).first()
+        took[n] = time.time() - began
+        assert (row.form, row["items"]) == ("value", inner)
+    assert took[900] < 3 * took[9] + 2
+
+
+def test_what_a_bad_bracket_spoils(spark):
+    cases = [
+        ("x [1, [2, }, 3] y", None), ("x [1[2]] [3] y", ["2", "3"]), ("x [[1], {[2]: 3}] y", ["1", "2"]),
+        ('x [[1, [2, z]], ["]"]] y', ['"]"']), ("] ] [1] [ [", ["1"]), ("x [{}{}] [[], {}] y", ["[]", "{}"]),
+    ]
+    raw = spark.createDataFrame([(str(i), c[0]) for i, c in enumerate(cases)], "reply_id string, raw string")
+    got = {int(r.reply_id): r["items"] for r in rp.parsed_replies(raw).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+
+
 def test_shape(spark):
     raw = spark.createDataFrame(
         [("a", "[1]"), ("b", '{"x": 1}'), ("c", '[{"x": 1}]'), ("d", "bad")],
