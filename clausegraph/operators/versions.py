@@ -145,12 +145,13 @@ def lookup(requests: DataFrame, primary: DataFrame) -> DataFrame:
     )
 
 
-def lookup_versions(requests: DataFrame, clause_versions: DataFrame) -> DataFrame:
+def lookup_versions(requests: DataFrame, clause_versions: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """Requested (clause_number, version) with text and outcome.
 
-    An unknown clause and an unknown version of a known clause are told apart.
+    An unknown clause and an unknown version of a known clause are told apart;
+    `numbers` has the known clause numbers, where a table of them is at hand.
     """
-    known = clause_versions.select("clause_number").distinct().withColumn("_known", F.lit(True))
+    known = (clause_versions if numbers is None else numbers).select("clause_number").distinct().withColumn("_known", F.lit(True))
     rows = clause_versions.select(
         "clause_number", F.col("document_id").alias("version"), "text", F.lit(True).alias("_hit")
     )

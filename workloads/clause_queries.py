@@ -189,11 +189,14 @@ SELECT r.clause_number, r.version, c.text, CASE WHEN c.clause_number IS NOT NULL
 FROM req r LEFT JOIN clauses c ON c.clause_number = r.clause_number AND c.document_id = r.version""",
 )
 def version_lookup(spark, sf_dir):
-    requests = ti.table(spark, sf_dir, "documents").selectExpr(
+    return vs.lookup_versions(version_requests(spark, sf_dir), ci.clauses(spark, sf_dir))
+
+
+def version_requests(spark, sf_dir):
+    return ti.table(spark, sf_dir, "documents").selectExpr(
         "concat(upper(source), ' ', doc_id % 7 + 1, '.', doc_id % 4 + 1) AS clause_number",
         "concat('d', doc_id div 2) AS version",
     )
-    return vs.lookup_versions(requests, ci.clauses(spark, sf_dir))
 
 
 @query(

@@ -730,8 +730,11 @@ def subset_verdicts(spark, sf_dir):
     "i.clause_number IS NOT NULL AS found FROM req r LEFT JOIN idx i USING (clause_number)",
 )
 def clause_lookup(spark, sf_dir):
-    requests = ri.derived(
+    return vs.lookup(lookup_requests(spark, sf_dir), index(spark, sf_dir))
+
+
+def lookup_requests(spark, sf_dir):
+    return ri.derived(
         spark, sf_dir,
         "SELECT DISTINCT concat('P ', CAST(l_partkey AS STRING), '(a)') AS clause_number FROM {lineitem}",
     )
-    return vs.lookup(requests, index(spark, sf_dir))

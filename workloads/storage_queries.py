@@ -9,9 +9,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from clausegraph.plans.lineage import scratch
+from clausegraph.operators import citations as ct
+from clausegraph.operators import versions as vs
+from clausegraph.plans.lineage import scratch, stored
+from clausegraph.sources import clause_index, readers, sinks
 from clausegraph.sources import publish as pub
-from clausegraph.sources import readers, sinks
+from workloads import clause_inputs as ci
+from workloads import clause_queries as cq
+from workloads import relation_inputs as ri
+from workloads import relation_queries as rq
 from workloads.registry import ORACLES, QUERIES, query
 
 
@@ -55,3 +61,43 @@ def snapshot_connections(spark, sf_dir):
     except sinks.EmptySnapshot:
         return pub.published(spark, root, "connections").select("id", "number")
     raise AssertionError("an empty snapshot replaced one with content")
+
+
+def _clause_index(spark, sf_dir):
+    versions = stored(ci.clauses(spark, sf_dir), "versions")
+    primary = stored(vs.primary_index(versions, ci.manifest(spark, sf_dir)), "primary")
+    return clause_index.write_index(primary, versions, _new(spark, "index"), buckets=16)
+
+
+def _part_index(spark, sf_dir):
+    parts = stored(rq.index(spark, sf_dir), "parts")
+    return clause_index.write_index(parts, parts, _new(spark, "index"), buckets=16)
+
+
+@query("stored_version_lookup", ORACLES["version_lookup"])
+def stored_version_lookup(spark, sf_dir):
+    """Requested clause versions from a published, bucketed index."""
+    return _clause_index(spark, sf_dir).lookup_versions(cq.version_requests(spark, sf_dir))
+
+
+_PARTS = ri.PART_CLAUSES.format(part="part")
+
+
+@query("stored_document_entries", f"SELECT clause_number, clause_seq, text FROM ({_PARTS}) WHERE document_id = 'parts'")
+def stored_document_entries(spark, sf_dir):
+    """Current clauses of one document from its folder of a published index."""
+    return _part_index(spark, sf_dir).entries("parts").select("clause_number", "clause_seq", "text")
+
+
+@query("stored_citations", ORACLES["citation_resolution"])
+def stored_citations(spark, sf_dir):
+    """Citations with their verbatim clause text from a published, bucketed index."""
+    candidates = ri.candidates(spark, sf_dir)
+    rows = ct.resolved_citations(candidates, _part_index(spark, sf_dir).cited(candidates))
+    return rows.select("candidate_id", "side", "clause_number", "text", "resolved")
+
+
+@query("stored_lookup", ORACLES["clause_lookup"])
+def stored_lookup(spark, sf_dir):
+    """Current rows of requested clause numbers from a published, bucketed index; misses are told."""
+    return _part_index(spark, sf_dir).lookup(rq.lookup_requests(spark, sf_dir))
