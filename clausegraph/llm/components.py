@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegraph.plans.lineage import cut
+from clausegraph.plans.lineage import Rounds
 
 LIMIT = 60
 
@@ -16,8 +16,12 @@ def connected(edges: DataFrame) -> DataFrame:
     `edges` has columns a and b.  Large-star and small-star steps alternate
     until the edges form stars; each is an aggregate and a join, so a hub is
     combined on the map side and adaptive execution can split its join.
+
+    A round's state is read back from its file: a checkpoint's size estimate is
+    the product of the joins before it, and long chains take many rounds.
     """
-    state = cut(
+    kept = Rounds(edges.sparkSession, "components")
+    state = kept.step(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = None
@@ -26,7 +30,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             return state.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
-        state = cut(_small_star(_large_star(state)))
+        state = kept.step(_small_star(_large_star(state)))
     raise RuntimeError(f"components did not settle in {LIMIT} rounds")
 
 

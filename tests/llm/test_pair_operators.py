@@ -42,6 +42,15 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_one_long_chain(spark):
+    """Many rounds: planning them must not slow down, and only the last round's state stays."""
+    names = list(range(6000))
+    random.Random(5).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a bigint, b bigint")
+    got = components.connected(edges).collect()
+    assert {r.node for r in got} == set(range(1, 6000)) and {r.component for r in got} == {0}
+
+
 def shingles(text):
     w = WORDS.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
