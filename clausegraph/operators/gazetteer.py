@@ -172,8 +172,8 @@ def dropped_spans(scored: DataFrame, threshold: float = SPAN_SCORE_MIN) -> DataF
     return scored.filter(F.col("confidence") < threshold)
 
 
-def all_spans(phrase_spans: DataFrame, scored: DataFrame) -> DataFrame:
+def all_spans(phrase_spans: DataFrame, scored: DataFrame, threshold: float = SPAN_SCORE_MIN) -> DataFrame:
     """Seed matches and kept predictions; `source_rank` puts seeds first."""
     return phrase_spans.withColumn("source_rank", F.lit(0)).unionByName(
-        kept_spans(scored).withColumn("source_rank", F.lit(1))
+        kept_spans(scored, threshold).withColumn("source_rank", F.lit(1))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegraph.functions import text as tx
+from clausegraph.plans.order import place_in_order
 
 
 def alias_map(seeds: DataFrame) -> DataFrame:
@@ -92,3 +93,8 @@ def entity_aliases(resolved: DataFrame) -> DataFrame:
 
 def entity_documents(resolved: DataFrame) -> DataFrame:
     return resolved.select("entity_id", "doc_id").distinct()
+
+
+def by_id(entities: DataFrame) -> DataFrame:
+    """Entities with their `place` in the order of their ids, for writing; code-point order, range partitioned."""
+    return place_in_order(entities, F.struct("entity_id", "class_"))

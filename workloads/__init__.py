@@ -7,5 +7,5 @@ from workloads import (  # noqa: F401
     relation_queries,
     text_queries,
 )
-from workloads import storage_queries  # noqa: E402, F401  builds on the others
+from workloads import plan_queries, storage_queries  # noqa: E402, F401  build on the others
 

@@ -109,6 +109,21 @@ def predictions(chunk_rows: DataFrame) -> DataFrame:
     ).filter(F.col("text") != "")
 
 
+def masked_predictions(chunk_rows: DataFrame) -> DataFrame:
+    """What a scorer says of masked sentences: the first word that no phrase covers."""
+    lead = F.length(F.regexp_extract("text", r"^([^\p{L}\p{N}_]*)", 1))
+    word = F.regexp_extract("text", r"([\p{L}\p{N}_]+)", 1)
+    labels = F.array(*[F.lit(x) for x in PREDICTION_LABELS])
+    return chunk_rows.select(
+        "chunk_id",
+        lead.alias("start"),
+        (lead + F.length(word)).alias("end"),
+        word.alias("text"),
+        F.get(labels, F.length(word) % 8).alias("label"),
+        (F.lit(0.4) + (F.col("char_start") % 7) / F.lit(10.0)).alias("score"),
+    ).filter(F.col("text") != "")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     return gz.scored_spans(rows, predictions(rows))
@@ -206,6 +221,29 @@ scored AS (
          0.4::DOUBLE + (char_start % 7)::DOUBLE / 10.0::DOUBLE AS confidence
   FROM first_words WHERE w <> '' AND length(w) % 8 < 7)"""
 
+MASKED_SQL = """
+chars AS (
+  SELECT chunk_id, doc_id, char_start, char_end,
+         unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM chunks),
+hidden AS (
+  SELECT DISTINCT chunk_id, unnest(range(char_start, char_end)) AS at FROM phrase_spans),
+masked AS MATERIALIZED (
+  SELECT c.doc_id, c.chunk_id, c.char_start, c.char_end,
+         string_agg(CASE WHEN h.at IS NULL THEN c.c ELSE ' ' END, '' ORDER BY c.i) AS text
+  FROM chars c LEFT JOIN hidden h ON h.chunk_id = c.chunk_id AND h.at = c.char_start + c.i
+  GROUP BY ALL)"""
+
+MASKED_SCORED_SQL = rf"""
+free_words AS (
+  SELECT doc_id, chunk_id, char_start, length(regexp_extract(text, '^([^\p{{L}}\p{{N}}_]*)', 1)) AS lead,
+         regexp_extract(text, '([\p{{L}}\p{{N}}_]+)', 1) AS w
+  FROM masked),
+scored AS (
+  SELECT doc_id, chunk_id, char_start + lead AS char_start, char_start + lead + length(w) AS char_end, w AS surface,
+         {_CLASSES_SQL}[length(w) % 8 + 1] AS class_, 'gliner' AS source,
+         0.4::DOUBLE + (char_start % 7)::DOUBLE / 10.0::DOUBLE AS confidence
+  FROM free_words WHERE w <> '' AND length(w) % 8 < 7)"""
+
 
 # Every Unicode blank.
 _BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -250,6 +288,18 @@ ALL_RESOLVED_SQL = ",".join(
         ),
     ]
 )
+MASKED_RESOLVED_SQL = ",".join(
+    [
+        BASE_SQL,
+        MASKED_SQL,
+        MASKED_SCORED_SQL,
+        ALIASES_SQL,
+        resolved_sql(
+            "SELECT *, 0 AS source_rank FROM phrase_spans UNION ALL "
+            "SELECT *, 0 AS seed_seq, 1 AS source_rank FROM scored WHERE confidence >= 0.7"
+        ),
+    ]
+)
 
 TERM_COUNTS_SQL = """
 tf AS (SELECT doc_id, entity_id, count(*) AS tf,
