@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from clausegraph.llm.text_arrays import pieces
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 KNOWN = 250_000
-BATCH = 50_000
+#: Pre-tokens of one recursive query.
+BATCH = 12_000
 #: Bytes of a pre-token that the recursive query takes; each step handles one pair of each word.
 LONGEST = 256
 
