@@ -9,7 +9,7 @@ pre-tokens: the ids of a text are those of its pre-tokens one after another,
 and so are the bytes of its ids.
 
 Memory is bounded: texts come in pieces of about `PIECE` bytes, known
-pre-tokens are forgotten when there are over `KNOWN`.
+pre-tokens are forgotten when there are over `KNOWN` and at the end of a task.
 """
 
 from __future__ import annotations
@@ -145,11 +145,16 @@ class Codec:
             at = to
         return out
 
+    def forget(self) -> None:
+        """Drop the known pre-tokens, so that a worker between tasks keeps only the tables."""
+        self.known, self.ids, self.bytes = {}, [], []
+
     def learn(self, words: list[str]) -> list[int]:
         """The place of each distinct pre-token among the known ones."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KNOWN:
-            self.known, self.ids, self.bytes, new = {}, [], [], words
+            self.forget()
+            new = words
         lists = self.encode_words([w.encode() for w in new])
         self.known.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
         self.ids += [x.astype("<u4").tobytes() for x in lists]
@@ -235,6 +240,7 @@ def encode_and_decode(documents: DataFrame, path: str, pattern: str | None = Non
                 [batch.column("doc_id"), counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        codec.forget()
 
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from clausegraph.llm.labels import remainder, training_labels
 from clausegraph.llm.text_arrays import SOLID_BYTES, find_words, hash_spans, pieces, utf8
 from clausegraph.plans.lineage import cut
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 FOLDS = 5
 POOLED, DIAGONAL = 0.2, 0.05
 #: Standard deviations are never taken for less than this, in transformed units.
