@@ -126,9 +126,9 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)
-    ]
+    # a lambda of two parameters would be given the element's place as the second
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans")
     )

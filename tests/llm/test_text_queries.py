@@ -207,6 +207,19 @@ def test_strict_spans_equal_brute_force(spark, personal):
             assert not any(b[1] < s[2] and s[1] < b[2] for b in base)
 
 
+def test_query_counts_base_spans_by_kind(spark, personal, tmp_path):
+    from clausegraph.llm.queries import op5_pii
+
+    spark.createDataFrame(personal, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, t in personal:
+        spans = sorted(brute_spans(t or ""))
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        want.append((str(d), *[sum(s[0] == k for s in spans) for k in range(4)], hashlib.sha256(said.encode()).hexdigest()))
+    got = [(str(r[0]), *r[1:6]) for r in op5_pii(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and all(any(w[1 + k] > 1 for w in want) for k in range(4))
+
+
 def test_loose_addresses_in_capitals_are_candidates(spark):
     texts = ["MAIL JOHN (AT) EXAMPLE (DOT) COM", "JOHN[AT]EXAMPLE.COM", "john (at) example (dot) com", "JOHN AT EXAMPLE DOT COM"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
