@@ -270,6 +270,17 @@ def test_sampled_betweenness_keeps_its_bound(spark):
     assert ce.betweenness(simple.limit(0), error=0.1).collect() == []
 
 
+def test_links_of_documents_do_not_count_towards_the_graph_of_the_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    inner = {(f"e{a}", f"e{b}") for a in range(12) for b in rng.sample(range(12), 2)}
+    edges = inner | {(f"d{i}", f"e{j}") for i in range(40) for j in rng.sample(range(12), 4)}
+    simple = spark.createDataFrame(sorted(edges), "source string, target string")
+    monkeypatch.setattr(ce, "_dependencies", None)
+    monkeypatch.setattr(ce, "PIECE", 60)
+    got = {r.id: r.betweenness for r in ce.betweenness(simple, task_edges=len(inner)).collect()}
+    assert got == pytest.approx(brute_betweenness(edges)) and max(got.values()) > 0
+
+
 def test_unicode_blanks_and_word_borders(spark):
     from clausegraph.functions import text as tx
 
