@@ -100,3 +100,16 @@ def test_entities_by_id_and_most_similar_first(spark):
     placed = sm.most_similar_first(pairs, "x", "y").orderBy("place").collect()
     assert [(r.place, r.x, r.y) for r in placed] == [(0, "b", "c"), (1, "a", "d"), (2, "a", "b"), (3, "a", "c")]
     assert sm.most_similar_first(pairs.limit(0), "x", "y").count() == 0
+
+
+def test_sentences_are_cut_once_for_all_spans(spark, tmp_path):
+    from clausegraph.functions import text as tx
+    from workloads import text_inputs as ti
+
+    texts = [None, "", "The MIT License. And 1.5 of it!? Yes...no. ", "a.b!\n\nthe end", ".. . ?\t x" * 300]
+    rows = [(i % 3 if i else None, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lazy = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("text", r"regexp_extract_all(text, r'(?s).*?[.!?]+[ \t\r\n\f]+|.+', 0) AS p")
+    assert lazy.filter(~tx.pieces(lazy["text"], tx.SENTENCE_PIECE).eqNullSafe(lazy["p"])).count() == 0
+    spans = ti.resolved(spark, str(tmp_path))
+    assert spans.count() > 0 and "documents.parquet" not in spans._jdf.queryExecution().toString()
