@@ -121,7 +121,10 @@ def primary_index(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def superseded(clause_versions: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(clause_number, document_id): versions that lost to the current one."""
+    """(clause_number, document_id): versions that lost to the current one.
+
+    `clause_versions` is read twice, so give it as a stored table.
+    """
     won = (
         _claims(clause_versions, manifest)
         .filter("document_id is not null")

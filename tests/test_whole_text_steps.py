@@ -81,3 +81,10 @@ def test_masked_predictions_read_stored_sentences(spark, folder):
     found = pq.masked_predictions(spark, folder)
     assert found.count() > 0 and "ExistingRDD" not in plan_of(found)
     assert all("/chunks-" in f for f in found.inputFiles())
+
+
+def test_clauses_are_cut_once(spark, folder):
+    for query in (cq.superseded_versions, cq.clause_key_clashes, cq.version_lookup):
+        rows = query(spark, folder)
+        assert rows.count() > 0, query
+        assert "regexp_extract_all" not in plan_of(rows), query

@@ -154,13 +154,19 @@ def clause_collisions(spark, sf_dir):
     return vs.collisions(ci.clauses(spark, sf_dir), ci.manifest(spark, sf_dir))
 
 
+def _clause_keys(spark, sf_dir, number="clause_number"):
+    """The keys of all clause versions, written once for what reads them twice; texts are cut into clauses once."""
+    keys = ci.clauses(spark, sf_dir).select("policy_id", F.col(number).alias("clause_number"), "document_id")
+    return stored(keys, "clause-keys")
+
+
 @query(
     "superseded_versions",
     f"WITH RECURSIVE {_MERGE} SELECT c.clause_number, c.document_id FROM clauses c "
     "JOIN claims m USING (policy_id, clause_number) WHERE m.winner <> c.document_id",
 )
 def superseded_versions(spark, sf_dir):
-    return vs.superseded(ci.clauses(spark, sf_dir), ci.manifest(spark, sf_dir))
+    return vs.superseded(_clause_keys(spark, sf_dir), ci.manifest(spark, sf_dir))
 
 
 @query(
@@ -173,7 +179,7 @@ FROM short s JOIN cur u USING (policy_id) GROUP BY s.clause_number HAVING count(
 )
 def clause_key_clashes(spark, sf_dir):
     """Bare numbers claimed by several policies; the last policy wins."""
-    bare = ci.clauses(spark, sf_dir).withColumn("clause_number", F.col("bare_number"))
+    bare = _clause_keys(spark, sf_dir, "bare_number")
     won = vs.winners(bare, ci.manifest(spark, sf_dir))
     return won.filter("n_policies > 1").select("clause_number", "n_policies", "document_id")
 
@@ -189,7 +195,8 @@ SELECT r.clause_number, r.version, c.text, CASE WHEN c.clause_number IS NOT NULL
 FROM req r LEFT JOIN clauses c ON c.clause_number = r.clause_number AND c.document_id = r.version""",
 )
 def version_lookup(spark, sf_dir):
-    return vs.lookup_versions(version_requests(spark, sf_dir), ci.clauses(spark, sf_dir))
+    clauses = stored(ci.clauses(spark, sf_dir).select("clause_number", "document_id", "text"), "clauses")
+    return vs.lookup_versions(version_requests(spark, sf_dir), clauses)
 
 
 def version_requests(spark, sf_dir):
