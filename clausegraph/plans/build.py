@@ -11,7 +11,7 @@ from clausegraph.operators import citations as ct
 from clausegraph.operators import segment as sg
 from clausegraph.operators import verdicts as vd
 from clausegraph.operators import versions as vs
-from clausegraph.plans.lineage import Staged
+from clausegraph.plans.lineage import Staged, stored
 
 Segmenter = Callable[[DataFrame], DataFrame]
 
@@ -43,8 +43,10 @@ def drop_report(orphans: DataFrame, lost_anchors: DataFrame) -> DataFrame:
 
     Both hold (document_id, clause_number, reason); other columns stay where
     there are any.  Sorted for writing by document and clause, missing ones first.
+    A sort reads its rows twice, once to find its ranges, so they are written
+    before it and the texts that they come from are read once.
     """
-    both = orphans.unionByName(lost_anchors, allowMissingColumns=True)
+    both = stored(orphans.unionByName(lost_anchors, allowMissingColumns=True), "drop-report")
     return both.orderBy(F.coalesce("document_id", F.lit("")), F.coalesce("clause_number", F.lit("")), "reason")
 
 

@@ -88,3 +88,12 @@ def test_clauses_are_cut_once(spark, folder):
         rows = query(spark, folder)
         assert rows.count() > 0, query
         assert "regexp_extract_all" not in plan_of(rows), query
+
+
+def test_drop_report_is_sorted_from_stored_rows(spark):
+    lost = spark.createDataFrame([("b", "2", "not_found"), ("a", "9", "ambiguous")], "document_id string, clause_number string, reason string")
+    orphans = spark.createDataFrame([("a", "1", "orphaned_parent:x", "H")], "document_id string, clause_number string, reason string, heading string")
+    report = bd.drop_report(orphans, lost)
+    assert [(r.document_id, r.clause_number, r.heading) for r in report.collect()] == [("a", "1", "H"), ("a", "9", None), ("b", "2", None)]
+    files = report.inputFiles()
+    assert files and all("/drop-report-" in f for f in files)
