@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,19 +63,16 @@ def _labelled(text: str, at: int, label: str | None) -> bool:
 _FOUND = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("n_hits", "n_labelled", "position")]))
 
 
-@F.pandas_udf(_FOUND)
-def _located(text: pd.Series, phrases: pd.Series, labels: pd.Series) -> pd.Series:
-    def of_document(body, wanted, names):
-        if body is None:
-            return [(0, 0, None)] * len(wanted)
-        out = []
-        for at, name in zip(_places(body, list(wanted)), names):
-            own = at if len(at) < 2 else [p for p in at if _labelled(body, p, name)]
-            out.append((len(at), len(own), own[0] if len(own) == 1 else None))
-        return out
-
-    rows = [of_document(b, w, n) for b, w, n in zip(text, phrases, labels)]
-    return pd.Series([[dict(zip(("n_hits", "n_labelled", "position"), r)) for r in row] for row in rows])
+# Rows without Arrow come a hundred at a time, not ten thousand: texts are long, and a worker holds a batch whole.
+@F.udf(_FOUND, useArrow=False)
+def _located(text: str | None, phrases: list[str], labels: list[str | None]) -> list[tuple]:
+    if text is None:
+        return [(0, 0, None)] * len(phrases)
+    out = []
+    for at, name in zip(_places(text, phrases), labels):
+        own = at if len(at) < 2 else [p for p in at if _labelled(text, p, name)]
+        out.append((len(at), len(own), own[0] if len(own) == 1 else None))
+    return out
 
 
 def anchor_hits(anchors: DataFrame, documents: DataFrame) -> DataFrame:

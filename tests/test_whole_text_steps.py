@@ -97,3 +97,15 @@ def test_drop_report_is_sorted_from_stored_rows(spark):
     assert [(r.document_id, r.clause_number, r.heading) for r in report.collect()] == [("a", "1", "H"), ("a", "9", None), ("b", "2", None)]
     files = report.inputFiles()
     assert files and all("/drop-report-" in f for f in files)
+
+
+def test_anchored_texts_come_in_small_batches(spark):
+    docs = spark.createDataFrame([("d", "see 1.1 one two"), ("e", None)], "document_id string, markdown string")
+    wanted = spark.createDataFrame(
+        [("d", 0, "1.1", "one  two"), ("d", 1, "1.2", "three"), ("e", 0, "1.1", "one")],
+        "document_id string, seq int, clause_number string, starts_with string",
+    )
+    hits = an.anchor_hits(wanted, docs)
+    assert sorted((r.document_id, r.seq, r.n_hits, r.position) for r in hits.collect()) == [("d", 0, 1, 8), ("d", 1, 0, None), ("e", 0, 0, None)]
+    plan = plan_of(hits)
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
