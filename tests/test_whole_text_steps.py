@@ -109,3 +109,36 @@ def test_anchored_texts_come_in_small_batches(spark):
     assert sorted((r.document_id, r.seq, r.n_hits, r.position) for r in hits.collect()) == [("d", 0, 1, 8), ("d", 1, 0, None), ("e", 0, 0, None)]
     plan = plan_of(hits)
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_hot_entity_is_split_at_run_time(spark):
+    """Most mentions name one entity; joins with totals by entity can split it."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        entity = F.when(F.col("id") % 3 != 0, F.lit("topic:the")).otherwise(F.concat(F.lit("topic:"), (F.col("id") / 6).cast("int")))
+        mentions = spark.range(0, 60000, 1, 8).select(
+            entity.alias("entity_id"), F.col("id").cast("string").alias("doc_id"), F.col("id").cast("string").alias("chunk_id")
+        )
+        n = {r.entity_id: r["count"] for r in mentions.groupBy("entity_id").count().collect()}
+        expected = sum(c for c in n.values() if c >= 2)
+        got = eg.kept_mentions(mentions)
+        assert len(got.collect()) == expected and "skewed" in plan_of(got)
+        said = eg.mention_edges(mentions, mentions.select("doc_id"))
+        assert said.count() == expected
+        # both sides are dealt for the join, which lets Spark split it where there are enough map tasks
+        assert plan_of(said).split("Initial Plan")[0].count("hashpartitioning(_dealt") == 2
+        counted = eg.kept_mentions(mentions).groupBy("entity_id").agg(F.count("*").alias("n"))
+        assert {r.entity_id: r.n for r in counted.collect()} == {k: c for k, c in n.items() if c >= 2}
+        assert "skewed" in plan_of(counted)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
