@@ -193,6 +193,39 @@ def test_similarity_against_brute_force(spark):
                    ("none", "void"): 0.0}
 
 
+@pytest.mark.parametrize(
+    "t, limits", [(0.3, {}), (0.5, {"block_pairs": 1}), (0.3, {"inline": 9, "block_pairs": 40}), (0.5, {"inline": 0}), (1.0, {"inline": 9})]
+)
+def test_similar_profiles_in_blocks_and_by_lookup(spark, t, limits):
+    rng = random.Random(11)
+    usual, rare = [f"u{i}" for i in range(70)], [f"r{i}" for i in range(150)]
+    sets = {}
+    for i in range(160):
+        near = rng.choice([set(), *sets.values()])
+        fresh = rng.sample(usual, rng.randrange(1, 9)) + rng.sample(rare, rng.randrange(4))
+        sets[f"d{i}"] = {e for e in near if rng.random() < 0.85} | set(fresh[: 2 + i % 9]) | ({"hub"} if i % 3 else set())
+    members = {tuple(sorted(s)): d for d, s in reversed(sets.items())}
+    rows = [(d, list(m)) for m, d in members.items()] + [(None, ["hub"]), ("void", [])]
+    profiles = spark.createDataFrame(rows, "profile_id string, members array<string>")
+    want = {}
+    for (x, a), (y, b) in combinations(members.items(), 2):
+        shared = len(set(x) & set(y))
+        if (jaccard := shared / (len(x) + len(y) - shared)) >= t:
+            want[min(a, b), max(a, b)] = (shared, pytest.approx(jaccard))
+    found = sm.similar_profiles(profiles, t, **limits).collect()
+    assert len(found) == len(want)
+    assert {(r.profile_a, r.profile_b): (r.shared, r.jaccard) for r in found} == want
+
+
+def test_candidates_of_carried_sets_are_not_shuffled(spark):
+    sets = [(f"p{i}", sorted({"hub", f"e{i % 7}", f"e{i % 5}", f"f{i}"})) for i in range(50)]
+    found = sm.similar_profiles(spark.createDataFrame(sets, "profile_id string, members array<string>"), 0.5)
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("Union", 1)[1]
+    above = plan.split("Join", 1)[0]
+    assert "array_intersect" in above
+    assert "Aggregate" not in above and "Exchange" not in above
+
+
 EDGES = [("x", "a"), ("y", "a"), ("x", "b"), ("y", "b"), ("z", "c"), ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"),
          ("d", "e"), ("d", "e")]
 
