@@ -33,6 +33,15 @@ def test_places(spark):
     assert all(r.x == r.place for r in place_in_order(rows, F.col("x")).collect())
 
 
+def test_places_are_found_without_another_shuffle(spark):
+    rows = spark.range(0, 500, 1, 7).select((F.col("id") * 7919 % 250).alias("x"), F.lit(None).cast("string").alias("_none"))
+    placed = place_in_order(rows, F.struct((-F.col("x")).alias("_less"), "_none"), "at")
+    got = sorted((r.at, r.x) for r in placed.collect())
+    assert got == list(enumerate(sorted([*range(250), *range(250)], reverse=True)))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
 def test_hot_clause_is_split_at_run_time(spark):
     """A third of all citations name one clause; the join splits that key."""
     from clausegraph.operators import citations as ct

@@ -102,6 +102,20 @@ def test_entities_by_id_and_most_similar_first(spark):
     assert sm.most_similar_first(pairs.limit(0), "x", "y").count() == 0
 
 
+def test_most_similar_first_makes_its_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def jaccard(n):
+        made.add(1)
+        return 1 / (1 + n % 10)
+
+    pairs = spark.range(0, 400, 1, 4).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"), jaccard("id").alias("jaccard"))
+    placed = sm.most_similar_first(pairs, "x", "y").orderBy("place").collect()
+    assert [r.x for r in placed] == sorted(range(400), key=lambda n: (n % 10, n))
+    assert made.value == 400
+
+
 def test_sentences_are_cut_once_for_all_spans(spark, tmp_path):
     from clausegraph.functions import text as tx
     from workloads import text_inputs as ti
