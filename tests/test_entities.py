@@ -4,6 +4,7 @@ import random
 import math
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +315,36 @@ def test_links_of_documents_do_not_count_towards_the_graph_of_the_tasks(spark, m
     assert got == pytest.approx(brute_betweenness(edges)) and max(got.values()) > 0
 
 
+def test_nodes_with_the_same_links_are_taken_together(spark, monkeypatch):
+    rng = random.Random(8)
+    inner = {(f"w{i}", f"hub{i % 3}") for i in range(18)} | {(f"hub{i % 2}", f"v{i}") for i in range(18)} | {("hub0", "hub2"), ("hub2", "hub0")}
+    inner |= {("v0", "hub1"), ("v2", "hub1"), ("hub2", "w1"), ("v1", "v1")}
+    edges = inner | {(f"d{i}", f"{rng.choice('wv')}{rng.randrange(18)}") for i in range(60)} | {(f"d{i}", f"hub{i % 3}") for i in range(0, 60, 4)}
+    edges |= {("d0", "w3"), ("d0", "w6"), ("d0", "w9"), ("d1", "w3")} | {("d2", f"v{i}") for i in range(1, 18, 2)} | {("d3", f"w{i}") for i in range(18)}
+    simple = spark.createDataFrame(sorted(edges), "source string, target string")
+    monkeypatch.setattr(ce, "_dependencies", None)
+    # fewer than the links between nodes, as many as between classes
+    got = {r.id: r.betweenness for r in ce.betweenness(simple, task_edges=len(inner) // 2).collect()}
+    assert got == pytest.approx(brute_betweenness(edges)) and max(got.values()) > 0
+    rows = sorted(edges) + [(None, "w1"), (None, "hub0"), ("d1", None), ("hub1", None)]
+    nulls = spark.createDataFrame(rows, "source string, target string")
+    assert ce.betweenness(nulls).filter("id is null").count() == 1
+
+
+@pytest.mark.parametrize("limits", [{}, {"WIDE": 1000}, {"WIDE": 1000, "DENSE": 60}, {"WIDE": 0, "PIECE": 7}])
+def test_dense_and_listed_links_give_the_same_sums(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ce, name, value)
+    rng = np.random.default_rng(3)
+    source, target = np.nonzero((rng.random((30, 30)) < 0.08) | (rng.random(30) < 0.1)[:, None])
+    sums = ce._Sums(source, target, 30)
+    state, taken, given = rng.random((12, 5)), rng.permutation(30)[:12], rng.permutation(30)[:17]
+    links = np.zeros((30, 30))
+    links[target, source] = 1
+    assert sums(state, taken, given) == pytest.approx(links[given][:, taken] @ state)
+    assert len(sums.columns) + len(sums.rows) <= 2 * (ce.DENSE // 30)
+
+
 def test_unicode_blanks_and_word_borders(spark):
     from clausegraph.functions import text as tx
 
