@@ -171,3 +171,25 @@ def test_a_staged_run_goes_on_where_it_stopped(spark, tmp_path):
     assert made == ["one", "two", "two"]
     again.finish()
     assert not (tmp_path / "run").exists()
+
+
+def test_a_published_graph_cuts_its_sentences_once(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from workloads import text_inputs as ti
+
+    texts = ["The cat sat on the mat. It was for this dog!", "The cat and the dog. They are with us.", "Cat by this. Cat is here. The cat.", ""]
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    queries = __spark_entry__.queries()
+    said = lambda df: sorted(map(tuple, df.collect()))
+    expected = said(queries["graph_edges"](spark, str(tmp_path)))
+    cut_by, chunks = [], ti.chunks
+    monkeypatch.setattr(ti, "chunks", lambda *a: cut_by.append(a) or chunks(*a))
+    stores = tmp_path / "store"
+    monkeypatch.setattr("clausegraph.plans.lineage.scratch", lambda _: str(stores))
+    edges = queries["published_graph_edges"](spark, str(tmp_path))
+    assert said(edges) == expected and {r[2] for r in expected} == {"mentions", "about", "co-occurs"}
+    assert edges.columns == ["source", "target", "edge_type", "weight"]
+    assert len(cut_by) == 1
+    # the sentences went when the spans were there
+    assert [p.parent.name for p in stores.glob("resolved-spans-*/*/_SUCCESS")] == ["1"]
